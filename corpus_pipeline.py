@@ -1,7 +1,59 @@
-"""A corpus pipeline of five stages."""
-STAGES = []
+"""A corpus pipeline: reject toxic documents, keep one of equal and one of similar texts, redact
+personal data, and pack what is left into sequences.
+
+Each stage is given what the stage before kept, with the columns of documents; the last returns
+the packed pieces. run() writes each stage's rows to the cluster's shared folder and reads them again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm.common import Stage, load
+from lattica.llm.exact_dedup import exact_dedup
+from lattica.llm.minhash import minhash_dedup
+from lattica.llm.packing import pack_documents
+from lattica.llm.pii import redact
+from lattica.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(docs, load(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, carry=True).where("not toxic").select(*docs.columns)
+
+
+def _first_of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _first_of(docs, exact_dedup(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _first_of(docs, minhash_dedup(docs))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("personal data", personal_data), ("packing", packing)]
+
+#: The model, the signatures and the packing are not SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = Stage(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+    return STAGES[-1][1](spark, docs, sf_dir)

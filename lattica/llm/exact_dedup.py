@@ -149,6 +149,14 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(ask, "shard long, key long, digest binary")
 
 
+def broadcast_filter(keys: DataFrame):
+    """A broadcast filter over a long column, or None where it would pass BROADCAST_BYTES."""
+    if 2 * keys.count() > BROADCAST_BYTES:
+        return None
+    made = build_filters(keys.select(F.lit(0).cast("long").alias("shard"), F.coalesce(keys.columns[0], F.lit(0)).alias("key"))).first()
+    return keys.sparkSession.sparkContext.broadcast(bytes(made["filter"]) if made else FuseFilter.build(np.zeros(0, np.int64)).to_bytes())
+
+
 def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row.
 
@@ -189,19 +197,14 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id: str = "d
 
 def _suspect_texts(rows: DataFrame, suspects: Stage) -> DataFrame:
     """The rows whose digest may be a suspect. Beyond BROADCAST_BYTES all rows go on; the result is the same."""
-    spark = rows.sparkSession
-    n = suspects.df.count()
-    if 2 * n > BROADCAST_BYTES:
+    blob = broadcast_filter(suspects.df.select(_key("digest").alias("key")))
+    if blob is None:
         return rows
-    made = build_filters(suspects.df.select(F.lit(0).cast("long").alias("shard"), _key("digest").alias("key"))).first()
-    blob = spark.sparkContext.broadcast(bytes(made["filter"]) if made else b"")
 
     @F.pandas_udf("boolean")
     def suspected(key):
         import pandas as pd
 
-        if not blob.value:
-            return pd.Series(False, index=key.index)
         return pd.Series(FuseFilter.from_bytes(blob.value).holds(key.to_numpy().astype(U64)), index=key.index)
 
     return rows.where(suspected(_key("digest")))

@@ -14,18 +14,70 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.minhash import minhash_dedup
+
+    return minhash_dedup(load(spark, sf_dir, "documents"))
+
+
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.suffix import digest_output, remove_repeats
+
+    return remove_repeats(load(spark, sf_dir, "documents"), finish=digest_output)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.pii import find_personal_data
+
+    return find_personal_data(load(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.warc import archive
 
     return archive(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.quality import fit_quality, score_quality
+
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    scored = score_quality(docs, fit_quality(docs, labels.where(third != 1)))
+    return scored.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.embedding import embedding_dedup
 
     return embedding_dedup(load(spark, sf_dir, "embeddings"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = load(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
+    return scored.withColumn("kept", ~F.col("toxic"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm.bpe import digest_output, encode_documents
+
+    docs = load(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest_output, plain_scan=True)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lattica.llm.packing import pack_documents
+
+    return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
