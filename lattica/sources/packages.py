@@ -29,6 +29,11 @@ def _attr(e, name: str):
     return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
 
 
+def _relation(e):
+    """The relation's id, which stands beside a plain id."""
+    return next((v for k, v in e.attrib.items() if k.endswith("}id")), None)
+
+
 def _xml(z: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(z.read(name))
 
@@ -129,7 +134,7 @@ def _workbook(name, z):
     book = _main_part(z)
     relations, strings = _relations(z, book), _shared_strings(z)
     for sheet in (e for e in _xml(z, book).iter() if _tag(e) == "sheet"):
-        kind, part = relations.get(_attr(sheet, "id"), ("", ""))
+        kind, part = relations.get(_relation(sheet), ("", ""))
         if part not in z.namelist():
             continue
         shared: dict[str, tuple[str, int, int]] = {}
@@ -205,7 +210,7 @@ _POINT = 12700.0
 def _deck(name, z):
     deck = _main_part(z)
     relations = _relations(z, deck)
-    slides = [relations[_attr(e, "id")][1] for e in _xml(z, deck).iter() if _tag(e) == "sldId" and _attr(e, "id") in relations]
+    slides = [relations[_relation(e)][1] for e in _xml(z, deck).iter() if _tag(e) == "sldId" and _relation(e) in relations]
     slides = [s for s in slides if s in z.namelist()]
     for number, part in enumerate(slides, 1):
         pos = 0

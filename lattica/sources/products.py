@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,14 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     from lattica.operators.cells import typed
 
     shards = spark.read.schema(SHEET).option("multiLine", True).json(path)
-    rows = shards.select(F.col("name").alias("sheet"), F.posexplode("rows").alias("r", "row"))
-    cells = rows.select("sheet", F.coalesce("row.index", F.col("r") + 1).alias("row"), F.posexplode("row.cells").alias("k", "cell"))
+    after = lambda said, k, by: k + F.coalesce(F.last(said - k, ignorenulls=True).over(Window.partitionBy(*by).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
+    rows = shards.select(F.col("name").alias("sheet"), F.posexplode("rows").alias("r", "line"))
+    rows = rows.withColumn("row", after(F.col("line.index"), F.col("r"), ["sheet"]))
+    cells = rows.select("sheet", "row", F.posexplode("line.cells").alias("k", "cell"))
     r, c = split_a1(F.col("cell.ref"))
-    placed = cells.select("sheet", F.coalesce(F.when(F.col("cell.ref").isNotNull(), r), F.col("row")).alias("row"), F.coalesce(F.when(F.col("cell.ref").isNotNull(), c), F.col("k") + 1).alias("col"), F.when(F.col("cell.type") == "string", F.lit("string")).alias("said"), "cell.value", "cell.formula")
+    held = F.col("cell.ref").isNotNull()
+    placed = cells.withColumn("col", after(F.when(held, c), F.col("k"), ["sheet", "row"]))
+    placed = placed.select("sheet", F.when(held, r).otherwise(F.col("row")).alias("row"), "col", F.col("cell.type").alias("said"), "cell.value", "cell.formula")
     kind, num, text, logical = typed(F.col("value"))
     as_text = F.col("said") == "string"
     return placed.select("sheet", "row", "col", F.when(as_text, "string").otherwise(kind).alias("kind"), F.when(as_text, None).otherwise(num).alias("num"), F.when(as_text, F.col("value")).otherwise(text).alias("str"), F.when(as_text, None).otherwise(logical).alias("bool"), "formula")
