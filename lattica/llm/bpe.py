@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lattica.llm import pretok
 from lattica.llm.common import U64, Stage, bytes_of, cut_rows, flat_ranges, shuffle_width, span_hashes
@@ -299,7 +300,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, output=real_outpu
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds `decoded` binary, the bytes of an array<int> column of ids (null: null; null ids are skipped)."""
-    schema = rows.schema.add("decoded", "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         table = token_bytes(path)

@@ -215,19 +215,20 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text")
 
 def redact(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; spans that overlap are replaced together."""
-    hashed = F.xxhash64(F.col(text))
-    spans = find_spans(docs, [F.col(id).alias("_id"), hashed.alias("_hash"), F.length(F.col(text)).alias("_size")], text)
+    whole = F.col(text)
+    spans = find_spans(docs, [F.col(id).alias("_id"), F.xxhash64(whole).alias("_hash"), F.length(whole).alias("_size")], text)
     spans = spans.where(F.size("spans") > 0).groupBy("_id", "_hash", "_size").agg(F.first("spans").alias("_spans"))  # equal rows have equal spans
     names = F.array(*map(F.lit, KINDS))
     by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    held = F.col("_doc")[text]
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        part = F.concat(F.substring(F.col(text), acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(F.element_at(names, s["kind"])), F.lit("]"))
+        part = F.concat(F.substring(held, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(F.element_at(names, s["kind"])), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(by_start, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(F.col(text)))))
-    key = F.col(id).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")) & (F.length(F.col(text)) == F.col("_size"))
-    joined = docs.join(spans, key, "left")
-    return joined.select(*(F.when(F.col("_spans").isNotNull(), done).otherwise(F.col(text)).alias(c) if c == text else docs[c] for c in docs.columns))
+    done = F.aggregate(by_start, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(held, acc["at"].cast("int") + 1, F.length(held))))
+    key = F.col("_doc")[id].eqNullSafe(F.col("_id")) & (F.xxhash64(held) == F.col("_hash")) & (F.length(held) == F.col("_size"))
+    joined = docs.select(F.struct(*docs.columns).alias("_doc")).join(spans, key, "left")
+    return joined.select(*(F.when(F.col("_spans").isNotNull(), done).otherwise(held).alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns))
