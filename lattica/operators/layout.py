@@ -151,3 +151,29 @@ def projected(cells: DataFrame, em: float = 0.5) -> DataFrame:
     placed = cells.withColumn("_c", column).withColumn("_end", F.col("_c") + F.length("text")).withColumn("_pad", F.greatest(F.col("_c") - F.coalesce(F.lag("_end").over(w), F.lit(0)), F.when(F.col("cell") == 0, 0).otherwise(1)))
     parts = F.array_sort(F.collect_list(F.struct("cell", F.concat(F.repeat(F.lit(" "), F.col("_pad")), F.col("text")).alias("t"))))
     return placed.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
+
+
+def to_blocks(items: DataFrame) -> DataFrame:
+    """Pages rebuilt as blocks (doc_id, page, pos, type, level, text, rows): headings by size against the body, list items, tables, paragraphs."""
+    from lattica.operators.text import list_item
+
+    cells = line_cells(lines(items))
+    rows = line_text(cells).join(body_size(items, ["doc_id"]), "doc_id")
+    found = tables(cells).select(*PAGE, F.col("first").alias("line"), F.col("last"), F.col("rows"))
+    inside = rows.join(found.select(*PAGE, F.col("line").alias("_a"), F.col("last").alias("_b")), PAGE).where(F.col("line").between(F.col("_a"), F.col("_b"))).select(*PAGE, "line")
+    plain = rows.join(inside, [*PAGE, "line"], "left_anti").withColumn("t", F.array_join("row", " "))
+    ratio, item = F.col("size") / F.col("body_size"), list_item(F.col("t"))
+    level = F.when(ratio >= 1.9, 1).when(ratio >= 1.35, 2)
+    kind = F.when(level.isNotNull(), "heading").when(item.isNotNull(), "list").otherwise("paragraph")
+    text = F.when(kind == "list", item).otherwise(F.col("t"))
+    none = F.lit(None).cast("array<array<string>>")
+    made = plain.select(*PAGE, F.col("line").alias("pos"), kind.alias("type"), level.alias("level"), text.alias("text"), none.alias("rows"))
+    return made.unionByName(found.select(*PAGE, F.col("line").alias("pos"), F.lit("table").alias("type"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), "rows"))
+
+
+def table_cells(found: DataFrame) -> DataFrame:
+    """Cells (sheet, row, col, kind, num, str) of detected tables; a cell with digits and no space is a number without its commas."""
+    spots = found.select(F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_table"), F.col("table").cast("string")).alias("sheet"), "doc_id", F.posexplode("rows").alias("r", "line"))
+    cells = spots.select("doc_id", "sheet", (F.col("r") + 1).alias("row"), F.posexplode("line").alias("c", "t"))
+    number = F.when(F.col("t").rlike(r"^[+-]?[0-9]\S*$"), F.replace("t", F.lit(","), F.lit("")).try_cast("double"))
+    return cells.select("doc_id", "sheet", "row", (F.col("c") + 1).alias("col"), F.when(number.isNotNull(), "number").otherwise("string").alias("kind"), number.alias("num"), F.when(number.isNull(), F.col("t")).alias("str"))

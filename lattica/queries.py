@@ -963,3 +963,88 @@ def event_sessions(t: Tables):
 
     made = session_windows(t.events, "ts", "2 hours", ["user_id"], "value")
     return rounded(made.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "total"))
+
+
+# ---------------------------------------------------------------- further document operators
+
+
+@query("""
+SELECT sha256(coalesce(html, '')) AS sha256, octet_length(encode(coalesce(html, '')))::BIGINT AS size, min(page_id || '.html') AS path, 'text/html' AS mime, count(DISTINCT page_id) AS sources
+FROM pages GROUP BY 1, 2
+""")
+def payload_manifest(t: Tables):
+    from lattica.sources.products import manifest
+
+    files = t.pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content"))
+    return manifest(files).withColumn("sources", F.size("sources").cast("long"))
+
+
+@query(f"WITH {_ITEMS_SQL}, s AS (SELECT doc_id, 9.0::DOUBLE + item % 3 AS s, sum(length(text)) AS n FROM i GROUP BY 1, 2) SELECT doc_id, s AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s) AS r FROM s) WHERE r = 1")
+def body_sizes(t: Tables):
+    return layout.body_size(_items(t).withColumn("size", 9.0 + F.col("item") % 3), ["doc_id"])
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT doc_id, item::INT AS item FROM i")
+def overlapping_items(t: Tables):
+    """Each word set twice, the second a point aside: the second ones go."""
+    first = _items(t)
+    second = first.withColumn("item", F.col("item") + 100_000).withColumn("x", F.col("x") + 1).withColumn("end_x", F.col("end_x") + 1)
+    return layout.overlaps(first.unionByName(second)).select("doc_id", "item")
+
+
+@query(f"""
+WITH {_ITEMS_SQL}, l AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line) AS line, count(DISTINCT cell) AS n, string_agg(text, ' ' ORDER BY item) AS text FROM i GROUP BY doc_id, line)
+SELECT doc_id, count(*) FILTER (WHERE n = 2) > 1 AS has_table, count(*) FILTER (WHERE n = 1) AS others FROM l GROUP BY doc_id
+""")
+def rebuilt_blocks(t: Tables):
+    made = layout.to_blocks(_items(t))
+    counted = made.groupBy("doc_id").agg((F.count_if(F.col("type") == "table") > 0).alias("has_table"), F.count_if((F.col("type") != "table") & (F.size(F.split("text", " ")) <= 3)).alias("others"))
+    return counted
+
+
+@query("SELECT p_partkey, p_name AS title, p_size AS page FROM part")
+def toc_entries(t: Tables):
+    return t.part.select("p_partkey", text.toc_entry(F.concat("p_name", F.lit(" ..... "), "p_size")).alias("entry")).select("p_partkey", "entry.*")
+
+
+@query("""
+WITH x AS (SELECT p_brand, p_size, p_size < lag(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS back FROM part)
+SELECT p_brand, count(*) AS entries, min(p_size) = max(p_size) AS all_same, coalesce(bool_or(back), false) AS non_monotonic FROM x GROUP BY p_brand
+""")
+def toc_findings(t: Tables):
+    return text.toc_findings(t.part, "p_brand", "p_partkey", "p_size")
+
+
+@query("""
+SELECT '/part[' || p_partkey || ']' AS path, u.m.severity AS severity, u.m.message AS message FROM part, unnest([CASE WHEN p_size * 10 + p_retailprice > 1300 THEN {'severity': 'warning', 'message': 'outside the page'} END, CASE WHEN p_size < 3 THEN {'severity': 'error', 'message': 'no size'} END]) u(m) WHERE u.m IS NOT NULL
+""")
+def element_rules(t: Tables):
+    boxes = t.part.select(F.concat(F.lit("/part["), F.col("p_partkey").cast("string"), F.lit("]")).alias("path"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("name"), (F.col("p_size") * 10.0).alias("x"), F.lit(0.0).alias("y"), F.col("p_retailprice").alias("w"), F.when(F.col("p_size") < 3, 0.0).otherwise(5.0).alias("h"))
+    return quality.elements(boxes, 1300, 1000)
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN '' ELSE text END AS final, CASE role WHEN 'assistant' THEN '' ELSE text END AS original FROM conversations")
+def tracked_changes(t: Tables):
+    kind = F.when(F.col("role") == "user", "del").when(F.col("role") == "assistant", "ins").otherwise("keep")
+    return t.conversations.select("conv_id", "turn", markdown.revised(F.col("text"), kind, "final").alias("final"), markdown.revised(F.col("text"), kind, "original").alias("original"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 4 || '. ' || role AS markdown FROM conversations")
+def numbered_lists(t: Tables):
+    return markdown.numbered(t.conversations, ["conv_id"], "turn", "role", start=5).select("conv_id", "turn", "markdown")
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'click' THEN 'k: ' || CAST(round(v) AS BIGINT) || '%' WHEN 'view' THEN '**k**: 3 (+1)' WHEN 'error' THEN 'k: 3/5' WHEN 'signup' THEN '- k' ELSE 'k' END AS text FROM (SELECT *, 3 * 100 / 5.0 AS v FROM events)
+""")
+def deck_components(t: Tables):
+    kind = F.create_map(*[F.lit(x) for x in ("click", "progress", "view", "kpi", "error", "rating", "signup", "timeline", "purchase", "text")])[F.col("event_type")]
+    return t.events.select("event_id", markdown.component(kind, F.lit("k"), F.lit(3.0), F.lit(5.0), F.lit(1.0)).alias("text"))
+
+
+@query("""
+SELECT event_type, ts, user_id, n FROM (SELECT event_type, ts, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1
+""")
+def first_events(t: Tables):
+    made = windows.ordinals(t.events, ["user_id"], ["ts", "event_id"], "n").where("n = 1")
+    return made.select("event_type", "ts", "user_id", F.col("n").cast("long").alias("n"))
