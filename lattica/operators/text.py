@@ -225,7 +225,7 @@ def _by_pieces(words: DataFrame, word: str, limit: Column, vocabulary: DataFrame
     low, n = F.lower(F.col(word)), F.length(word)
     size = F.greatest(F.floor(n / (limit + 1)), F.lit(1)).cast("int")
     pieces = words.select(word, limit.alias("_l"), size.alias("_s"), F.posexplode(F.transform(F.sequence(F.lit(0), limit), lambda k: F.call_function("substring", low, k * size + 1, size))).alias("_k", "_p"))
-    every = vocabulary.select("_c", "_o", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_c"), F.lit(1)))).alias("_at"), F.explode(F.lit([1]).cast("array<int>")).alias("_one")).drop("_one")
+    every = vocabulary.select("_c", "_o", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_c"), F.lit(1)))).alias("_at"))
     sizes = pieces.select("_s").distinct()  # as many as there are word lengths
     grams = every.crossJoin(F.broadcast(sizes)).select("_c", "_o", "_at", "_s", F.call_function("substring", F.lower("_c"), F.col("_at"), F.col("_s")).alias("_p"))
     met = pieces.join(grams, ["_p", "_s"]).where(F.abs(F.col("_at") - 1 - F.col("_k") * F.col("_s")) <= F.col("_l"))

@@ -40,6 +40,3 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles to so many places, and no negative zero."""
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
-
-def sql_rounded(columns: list[str], digits: int = 4) -> str:
-    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
