@@ -53,6 +53,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(found)
 
 
+def tally(row: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of each distinct pair."""
+    order = np.lexsort((name, row))
+    row, name = row[order], name[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+    at = np.flatnonzero(new)
+    return row[at].astype(np.int32), name[at], np.diff(np.append(at, len(row))).astype(np.int32)
+
+
 class OrdinalModel:
     def __init__(self, names: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
         order = np.argsort(names)
@@ -80,14 +90,12 @@ def _grades(toxic: np.ndarray, marked: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (marked[:, None] > cuts[None]).sum(1), 0)
 
 
-def fit_ordinal(row: np.ndarray, name: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
-    """row, name: the fitted rows' features; toxic: a boolean for each row."""
+def fit_ordinal(row: np.ndarray, name: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+    """row, name, count: the tally of the fitted rows' features; toxic: a boolean for each row."""
     n = len(toxic)
     if toxic.all() or not toxic.any():
         return OrdinalModel(np.zeros(0, U64), np.zeros(0), np.zeros(0))
-    known, back = np.unique(name, return_inverse=True)
-    cell, count = np.unique(row * len(known) + back, return_counts=True)
-    row, at = cell // len(known), cell % len(known)
+    known, at = np.unique(name, return_inverse=True)
     with_, without = np.bincount(at[toxic[row]], minlength=len(known)), np.bincount(at[~toxic[row]], minlength=len(known))
     t, c = toxic.sum(), n - toxic.sum()
     odds = np.log((with_ + 0.5) / (t - with_ + 0.5)) - np.log((without + 0.5) / (c - without + 0.5))
@@ -136,12 +144,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
         order = np.argsort(np.asarray(table["id"]), kind="stable")
         table = table.take(pa.array(order))
         data, offsets = bytes_of(table["text"])
-        row, name = [], []
+        row, name, count = [], [], []
         for lo, hi in cut_rows(offsets, PIECE_BYTES):
             r, f = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            row.append(r + lo)
-            name.append(f)
-        model = fit_ordinal(np.concatenate(row), np.concatenate(name), np.asarray(table["toxic"]) == 1)
+            for whole, part in zip((row, name, count), tally(r + lo, f), strict=True):
+                whole.append(part)
+        model = fit_ordinal(*(np.concatenate(x) for x in (row, name, count)), np.asarray(table["toxic"]) == 1)
         return pa.table({"names": pa.array([model.names.view(np.int64)], pa.list_(pa.int64())), "weights": pa.array([model.weights], pa.list_(pa.float64())), "thresholds": pa.array([model.thresholds], pa.list_(pa.float64()))})
 
     made = picked.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "names array<long>, weights array<double>, thresholds array<double>").first()

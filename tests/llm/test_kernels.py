@@ -203,8 +203,8 @@ def test_ordinal_model_orders_severity():
     rng = random.Random(9)
     clean = [" ".join(rng.choice(["sun", "rain", "tree", "road"]) for _ in range(60)) for _ in range(300)]
     toxic = [" ".join(rng.choice(["sun", "rain", "tree", "road"]) for _ in range(60)) + " idiot," * rng.choice([1, 3, 9]) for _ in range(100)]
-    row, name = toxicity.features(*packed(clean + toxic))
-    model = toxicity.fit_ordinal(row, name, np.arange(400) >= 300)
+    tallied = toxicity.tally(*toxicity.features(*packed(clean + toxic)))
+    model = toxicity.fit_ordinal(*tallied, np.arange(400) >= 300)
     severity, above = model.severity(*packed(["", "sun rain", "Idiot", "idiot idiot idiot idiot", "idiot! " * 12]))
     assert (np.diff(severity) >= -1e-9).all() and severity[-1] > 2 > severity[2] > 0.5
     assert (above >= 0.5).tolist() == [False, False, True, True, True]
