@@ -476,8 +476,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, q: int = QGRAM, finish=r
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(buckets, size // BLOCK_BYTES)
-    # a checkpoint keeps its partitioning: the texts are shuffled once for all three steps
-    held = rows.mapInArrow(_blocks(blocks), "block long, blob binary").repartition(buckets, "block").checkpoint()
+    # read and compressed again for the second job: that costs less than to keep the blocks between the two
+    held = rows.mapInArrow(_blocks(blocks), "block long, blob binary")
     asked = held.groupBy("block").applyInArrow(_ask(buckets, least, q), "bucket long, block long, blob binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, answer binary").repartition(buckets, "block").checkpoint()
     sent = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(buckets, least, q), "bucket long, block long, blob binary")
