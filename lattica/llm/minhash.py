@@ -9,12 +9,13 @@ quarter of its symbols wrong on average, escapes all sixteen chunks with a chanc
 Pairs that meet are checked against SIGNATURE_LIMIT wrong symbols (five standard deviations beyond
 the threshold's mean) and then on their full shingle sets.
 
-Equal sets are one class. A bucket is first joined as a star around its least class, twice: within
-a task, which then sends one class a bucket, and among the tasks. Confirmed stars give components;
-only buckets that still hold two components or more are then compared across components, in
-sub-blocks of BUCKET_ROWS, so that no bucket is one task's whole load and no link between
-components is missed. Full sets are compared from the texts of candidates alone, which a
-binary-fuse filter picks out of the second scan.
+Equal sets are one class. A bucket is joined as a star around its least class, twice: within a task,
+which then sends one class a bucket, and among the tasks. Stars that pass the signature limit are
+candidates; confirmed ones give components, and all candidates give clusters, into which every pair
+that shares a bucket with a similar centre falls. A cluster that still holds two components or more
+is compared across its components in blocks of CLUSTER_ROWS, so that no cluster is one task's load,
+no pair is emitted (a block gives a forest of the links it finds) and no link is lost. Full sets are
+compared from the texts of candidates alone, which a binary-fuse filter picks out of the second scan.
 
 Nulls: a null or blank text has the empty set and links with nothing. Rows that repeat an id are
 rows of their own. A null id never names a component that has another id. An empty table gives an
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import _squeeze, _unsqueeze
-from lattica.llm.common import LOWER, U64, Stage, bytes_of, cut_rows, mix, shuffle_width, span_hashes, words_of
+from lattica.llm.common import LOWER, U64, Stage, bytes_of, cut_rows, flat_ranges, mix, shuffle_width, span_hashes, words_of
 from lattica.llm.components import connected_components
 from lattica.llm.exact_dedup import FuseFilter, broadcast_filter
 
@@ -38,7 +39,7 @@ SHINGLE = 5
 CHUNKS, CHUNK = 16, 6
 SYMBOLS = CHUNKS * CHUNK
 SIGNATURE_LIMIT = 45
-BUCKET_ROWS = 1000
+CLUSTER_ROWS = 400
 STAR_ROWS = 500
 PIECE_BYTES = 1 << 20
 TASK_CLASSES = 1 << 15
@@ -72,7 +73,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def class_of(shingles: np.ndarray) -> int:
     """A 64-bit name of a set, as a signed number."""
-    return int(mix(np.array([shingles.sum(dtype=U64) + mix(np.array([len(shingles)], U64))[0] + np.bitwise_xor.reduce(mix(shingles))], U64)).view(np.int64)[0])
+    mixed = mix(shingles)
+    parts = np.stack([shingles.sum(dtype=U64, keepdims=True), mixed.sum(dtype=U64, keepdims=True), np.bitwise_xor.reduce(mixed, keepdims=True)])
+    return int(mix(parts[0] + mix(parts[1] ^ mix(parts[2] + U64(len(shingles))))).view(np.int64)[0])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -160,31 +163,47 @@ def _meet(table):
     return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
 
-def _exploded(rows):
-    """(key, class, comp) for each key of a class."""
-    for batch in rows:
-        if not batch.num_rows:
-            continue
-        keys = bucket_keys(_signatures(batch.column(3))).view(np.int64)
-        for lo in range(0, batch.num_rows, 200):
-            part = keys[lo : lo + 200]
-            rep = pa.array(np.repeat(np.arange(lo, lo + len(part)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), *(batch.column(k).take(rep) for k in (0, 1))], names=["key", "class", "comp"])
-
-
-def _across(table):
-    """Pairs of two components in a bucket that pass the size and signature filters."""
-    side, ids, comp, n = (np.asarray(table[c]) for c in ("side", "class", "comp", "n"))
-    signatures = _signatures(table["signature"].combine_chunks())
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
-    right = right if len(right) else left
-    found = []
-    for x in left.tolist():
-        other = right[(comp[right] != comp[x]) & (4 * np.minimum(n[right], n[x]) >= 3 * np.maximum(n[right], n[x]))]
-        other = other[(signatures[other] != signatures[x]).sum(1) <= SIGNATURE_LIMIT]
-        found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in other.tolist()]
-    found = sorted(set(found))
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+def _across(percent: int):
+    """Within a block of a cluster: the links between texts of different components, as a forest of them.
+
+    A text meets all texts of the other sub-block through the postings of their shingles.
+    """
+
+    def run(key, table):
+        unzip = zstandard.ZstdDecompressor()
+        side, ids, comp = (np.asarray(table[c]) for c in ("side", "class", "comp"))
+        sets = []
+        for blob in table["text"]:
+            data = np.frombuffer(unzip.decompress(blob.as_py()), np.uint8)
+            sets.append(shingle_sets(data, np.array([0, len(data)]))[0])
+        sizes = np.array([len(x) for x in sets])
+        left = np.flatnonzero(side == 0)
+        right = left if key[1].as_py() == key[2].as_py() else np.flatnonzero(side == 1)
+        parent = {int(c): int(c) for c in comp}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        edges = []
+        if len(left) and len(right):
+            owner = np.repeat(np.arange(len(right)), sizes[right])
+            flat = np.concatenate([sets[k] for k in right])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for x in left.tolist():
+                lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+                both = np.bincount(owner[flat_ranges(lo, hi - lo)], minlength=len(right))
+                linked = (100 * both >= percent * (sizes[right] + sizes[x] - both)) & (comp[right] != comp[x])
+                for y in right[linked].tolist():
+                    s, t = root(int(comp[x])), root(int(comp[y]))
+                    if s != t:
+                        parent[max(s, t)] = min(s, t)
+                        edges.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
 
 
 def _similar(edges: DataFrame, classes: Stage) -> DataFrame:
@@ -201,8 +220,8 @@ def _similar(edges: DataFrame, classes: Stage) -> DataFrame:
     return edges.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(docs: DataFrame, edges: Stage, classes: Stage, percent: int) -> DataFrame:
-    """The (a, b) edges with 100 * intersection >= percent * union on full sets."""
+def _candidate_texts(docs: DataFrame, edges: Stage, classes: Stage) -> Stage:
+    """(class, text) of one row of each class that has an edge; texts are compressed."""
     nodes = edges.df.select(F.col("a").alias("class")).union(edges.df.select("b")).distinct()
     nodes = Stage(nodes.join(classes.df.select("class", "id"), "class"), "nodes")
     blob = broadcast_filter(nodes.df.select(F.col("id").alias("key")))
@@ -223,8 +242,11 @@ def _confirm(docs: DataFrame, edges: Stage, classes: Stage, percent: int) -> Dat
     wanted = nodes.df.select(F.col("class").alias("wanted"), F.col("id").alias("wanted_id"))
     same = (F.col("class") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("wanted_id"))
     texts = texts.join(wanted, same, "left_semi").groupBy("class").agg(F.min("text").alias("text"))
-    texts = Stage(texts, "candidates")
+    return Stage(texts, "candidates")
 
+
+def _confirm(edges: Stage, texts: Stage, percent: int) -> DataFrame:
+    """The (a, b) edges with 100 * intersection >= percent * union on full sets."""
     stars = edges.df.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
     salted = edges.df.join(stars, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = salted.join(texts.df.select(F.col("class").alias("b"), "text"), "b").select("a", "part", "b", "text")
@@ -264,24 +286,24 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     filed = classes.df.select("class", "signature").mapInArrow(_file(buckets), "bucket long, blob binary")
     stars = Stage(filed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "stars")
     near = Stage(_similar(stars.df, classes), "near")
-    links = Stage(_confirm(rows, near, classes, percent), "links")
+    texts = _candidate_texts(rows, near, classes)
+    links = Stage(_confirm(near, texts, percent), "links")
     comps = Stage(connected_components(links.df), "comps")
 
-    # buckets that still hold two components: every pair across them
-    met = stars.df.select(F.col("a").alias("class")).union(stars.df.select("b")).distinct()
-    met = classes.df.join(met, "class").join(comps.df.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("comp"), "n", "signature")
-    met = Stage(met, "met")
-    keyed = met.df.mapInArrow(_exploded, "key long, class long, comp long")
-    mixed = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    mixed = Stage(mixed.select("key", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("parts")), "mixed")
-    again = keyed.join(mixed.df, "key").join(met.df.select("class", "n", "signature"), "class").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    cols = ["key", "p", "q", "side", "class", "comp", "n", "signature"]
-    first = again.withColumn("q", F.explode(F.sequence("part", F.col("parts") - 1))).withColumn("p", F.col("part")).withColumn("side", F.lit(0))
-    second = again.where("part > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).withColumn("q", F.col("part")).withColumn("side", F.lit(1))
-    pairs = first.select(cols).union(second.select(cols)).groupBy("key", "p", "q").applyInArrow(_across, "a long, b long").distinct()
-    pairs = Stage(pairs.join(near.df, ["a", "b"], "left_anti"), "pairs")
-    if pairs.df.limit(1).count():
-        more = Stage(_confirm(rows, pairs, classes, percent), "links")
+    # clusters of similar signatures that still hold two components: compared across components, block by block
+    clusters = connected_components(near.df).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    clusters = clusters.join(comps.df.withColumnRenamed("node", "class"), "class", "left").select("class", "cluster", F.coalesce("root", "class").alias("comp"))
+    clusters = Stage(clusters, "clusters")
+    mixed = clusters.df.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    mixed = mixed.select("cluster", F.ceil(F.col("rows") / CLUSTER_ROWS).cast("int").alias("parts"))
+    met = clusters.df.join(mixed, "cluster").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    met = met.join(texts.df, "class")
+    cols = ["cluster", "p", "q", "side", "class", "comp", "text"]
+    first = met.withColumn("q", F.explode(F.sequence("part", F.col("parts") - 1))).withColumn("p", F.col("part")).withColumn("side", F.lit(0))
+    second = met.where("part > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).withColumn("q", F.col("part")).withColumn("side", F.lit(1))
+    more = first.select(cols).union(second.select(cols)).groupBy("cluster", "p", "q").applyInArrow(_across(percent), "a long, b long")
+    more = Stage(more, "links")
+    if more.df.limit(1).count():
         comps = Stage(connected_components(links.df.union(more.df)), "comps")
 
     named = classes.df.select("class", "id").join(comps.df.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
