@@ -11,10 +11,13 @@ the threshold's mean) and then on their full shingle sets.
 
 Equal sets are one class. A bucket is joined as a star around its least class, twice: within a task,
 which then sends one class a bucket, and among the tasks. Stars that pass the signature limit are
-candidates; confirmed ones give components, and all candidates give clusters, into which every pair
-that shares a bucket with a similar centre falls. A cluster that still holds two components or more
-is compared across its components in blocks of CLUSTER_ROWS, so that no cluster is one task's load,
-no pair is emitted (a block gives a forest of the links it finds) and no link is lost. Full sets are
+candidates, and candidates give clusters. A bucket whose members do not all hang together by two steps
+along candidates (its centre is unlike some of them) is compared whole, signature by signature and
+across such clusters, in blocks of MEET_ROWS; what passes the limit joins the candidates. So every pair that shares a bucket
+and passes the limit is in one cluster. Confirmed candidates give components. A cluster that still
+holds two components or more is compared across its components in blocks of CLUSTER_ROWS, so that
+no cluster is one task's load, no pair is emitted (a block of either kind gives a forest of the links
+it finds) and no link between texts that share a bucket and pass the limit is lost. Full sets are
 compared from the texts of candidates alone, which a binary-fuse filter picks out of the second scan.
 
 Nulls: a null or blank text has the empty set and links with nothing. Rows that repeat an id are
@@ -40,6 +43,7 @@ CHUNKS, CHUNK = 16, 6
 SYMBOLS = CHUNKS * CHUNK
 SIGNATURE_LIMIT = 45
 CLUSTER_ROWS = 400
+MEET_ROWS = 2000
 STAR_ROWS = 500
 PIECE_BYTES = 1 << 20
 TASK_CLASSES = 1 << 15
@@ -163,6 +167,90 @@ def _meet(table):
     return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
 
+def _refile(buckets: int):
+    """(bucket, blob): the keys, classes and clusters of a task's (class, cluster, signature) rows."""
+
+    def run(rows):
+        for batch in rows:
+            if batch.num_rows:
+                keys = bucket_keys(_signatures(batch.column(2)))
+                ids, clusters = (np.repeat(batch.column(k).to_numpy(), keys.shape[1]) for k in (0, 1))
+                keys = keys.ravel()
+                at = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                bounds = np.searchsorted(at[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(bounds)).tolist():
+                    some = order[bounds[b] : bounds[b + 1]]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([_squeeze(keys[some], ids[some], clusters[some])], pa.binary())})
+
+    return run
+
+
+def _mixed(table):
+    """(meet, class, cluster, part, parts): the members of each key that holds two clusters or more.
+
+    meet names the members, so keys of the same members are one.
+    """
+    keys, ids, clusters = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in table["blob"]), strict=True))
+    order = np.lexsort((ids, keys))
+    keys, ids, clusters = keys[order], ids[order], clusters[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    lengths = np.diff(np.r_[starts, len(keys)])
+    meet = mix(np.add.reduceat(mix(ids.view(U64)), starts) + lengths.astype(U64))
+    mixed = np.minimum.reduceat(clusters, starts) < np.maximum.reduceat(clusters, starts)
+    starts, lengths, meet = starts[mixed], lengths[mixed], meet[mixed]
+    rows = flat_ranges(starts, lengths)
+    part = (rows - np.repeat(starts, lengths)) // MEET_ROWS
+    parts = np.repeat(-(-lengths // MEET_ROWS), lengths)
+    names = np.repeat(meet.view(np.int64), lengths)
+    return pa.table({"meet": pa.array(names, pa.int64()), "class": pa.array(ids[rows], pa.int64()), "cluster": pa.array(clusters[rows], pa.int64()), "part": pa.array(part, pa.int32()), "parts": pa.array(parts, pa.int32())})
+
+
+class _Forest:
+    """Union of groups; joined() is true where two were apart."""
+
+    def __init__(self, groups: np.ndarray):
+        self.parent = {int(g): int(g) for g in groups}
+
+    def joined(self, a: int, b: int) -> bool:
+        a, b = self._root(int(a)), self._root(int(b))
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+
+def _across_signatures(key, table):
+    """Within a block of a bucket: the edges between classes of different clusters whose sizes and signatures allow the similarity, as a forest of them."""
+    side, ids, clusters, sizes = (np.asarray(table[c]) for c in ("side", "class", "cluster", "n"))
+    signatures = _signatures(table["signature"])
+    same = key[1].as_py() == key[2].as_py()
+    left = np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    theirs = signatures[right]
+    forest, edges = _Forest(clusters), []
+    for k, x in enumerate(left.tolist()):
+        lo = k + 1 if same else 0
+        others = right[lo:]
+        near = (clusters[others] != clusters[x]) & (4 * np.minimum(sizes[others], sizes[x]) >= 3 * np.maximum(sizes[others], sizes[x]))
+        if near.any():
+            some = np.flatnonzero(near)
+            some = some[(theirs[lo:][some] != signatures[x]).sum(1) <= SIGNATURE_LIMIT]
+            edges += [(ids[x], ids[y]) for y in others[some].tolist() if forest.joined(clusters[x], clusters[y])]
+    return pa.table({"a": pa.array([min(e) for e in edges], pa.int64()), "b": pa.array([max(e) for e in edges], pa.int64())})
+
+
+def _blocks(rows: DataFrame, group: str, cols: list[str]) -> DataFrame:
+    """(group, p, q, side, *cols): the rows of parts p and q of a group meet in the block (p, q), once for p = q."""
+    cols = [group, "p", "q", "side", *cols]
+    first = rows.withColumn("q", F.explode(F.sequence("part", F.col("parts") - 1))).withColumn("p", F.col("part")).withColumn("side", F.lit(0))
+    second = rows.where("part > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).withColumn("q", F.col("part")).withColumn("side", F.lit(1))
+    return first.select(cols).union(second.select(cols))
+
+
 def _across(percent: int):
     """Within a block of a cluster: the links between texts of different components, as a forest of them.
 
@@ -179,14 +267,7 @@ def _across(percent: int):
         sizes = np.array([len(x) for x in sets])
         left = np.flatnonzero(side == 0)
         right = left if key[1].as_py() == key[2].as_py() else np.flatnonzero(side == 1)
-        parent = {int(c): int(c) for c in comp}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        edges = []
+        forest, edges = _Forest(comp), []
         if len(left) and len(right):
             owner = np.repeat(np.arange(len(right)), sizes[right])
             flat = np.concatenate([sets[k] for k in right])
@@ -197,9 +278,7 @@ def _across(percent: int):
                 both = np.bincount(owner[flat_ranges(lo, hi - lo)], minlength=len(right))
                 linked = (100 * both >= percent * (sizes[right] + sizes[x] - both)) & (comp[right] != comp[x])
                 for y in right[linked].tolist():
-                    s, t = root(int(comp[x])), root(int(comp[y]))
-                    if s != t:
-                        parent[max(s, t)] = min(s, t)
+                    if forest.joined(comp[x], comp[y]):
                         edges.append((ids[x], ids[y]))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
@@ -286,6 +365,20 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     filed = classes.df.select("class", "signature").mapInArrow(_file(buckets), "bucket long, blob binary")
     stars = Stage(filed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "stars")
     near = Stage(_similar(stars.df, classes), "near")
+
+    # buckets whose members are not known to be in one cluster: compared across clusters by signature
+    step = near.df.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("up"))
+    twice = step.join(step.select(F.col("class").alias("up"), F.col("up").alias("top")), "up", "left").select("class", F.coalesce("top", "up").alias("cluster"))
+    met = stars.df.select(F.col("a").alias("class")).union(stars.df.select("b")).distinct()
+    met = met.join(twice, "class", "left").join(classes.df, "class")
+    refiled = met.select("class", F.coalesce("cluster", "class").alias("cluster"), "signature").mapInArrow(_refile(buckets), "bucket long, blob binary")
+    mixed = refiled.groupBy("bucket").applyInArrow(_mixed, "meet long, class long, cluster long, part int, parts int").distinct()
+    mixed = Stage(mixed, "mixed").df.join(classes.df.select("class", "n", "signature"), "class")
+    blocks = _blocks(mixed, "meet", ["class", "cluster", "n", "signature"]).groupBy("meet", "p", "q")
+    beside = Stage(blocks.applyInArrow(_across_signatures, "a long, b long").distinct(), "beside")
+    if beside.df.limit(1).count():
+        near = Stage(near.df.union(beside.df), "near")
+
     texts = _candidate_texts(rows, near, classes)
     links = Stage(_confirm(near, texts, percent), "links")
     comps = Stage(connected_components(links.df), "comps")
@@ -298,10 +391,7 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     mixed = mixed.select("cluster", F.ceil(F.col("rows") / CLUSTER_ROWS).cast("int").alias("parts"))
     met = clusters.df.join(mixed, "cluster").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     met = met.join(texts.df, "class")
-    cols = ["cluster", "p", "q", "side", "class", "comp", "text"]
-    first = met.withColumn("q", F.explode(F.sequence("part", F.col("parts") - 1))).withColumn("p", F.col("part")).withColumn("side", F.lit(0))
-    second = met.where("part > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).withColumn("q", F.col("part")).withColumn("side", F.lit(1))
-    more = first.select(cols).union(second.select(cols)).groupBy("cluster", "p", "q").applyInArrow(_across(percent), "a long, b long")
+    more = _blocks(met, "cluster", ["class", "comp", "text"]).groupBy("cluster", "p", "q").applyInArrow(_across(percent), "a long, b long")
     more = Stage(more, "links")
     if more.df.limit(1).count():
         comps = Stage(connected_components(links.df.union(more.df)), "comps")

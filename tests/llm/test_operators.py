@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,43 @@ def test_near_duplicates(spark):
     assert minhash.minhash_dedup(empty(spark)).count() == 0
 
 
+def shared_clause_texts():
+    """Two similar texts whose buckets all hold longer, unlike texts of the same clause with lesser classes."""
+    rng = random.Random(7)
+    clause = prose(rng, 100)
+    docs = {k: f"{clause} {prose(rng, 62, [f'o{k}x{j}' for j in range(900)])}" for k in range(400)}
+
+    def class_of(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return minhash.class_of(minhash.shingle_sets(data, np.array([0, len(data)]))[0])
+
+    for k in (1000, 1001):
+        docs[k] = max((f"{clause} {prose(rng, 9)}" for _ in range(2000)), key=class_of)
+    return docs
+
+
+def test_near_duplicates_that_meet_beside_an_unlike_centre(spark):
+    docs = shared_clause_texts()
+    want = brute.near_duplicates(docs)
+    assert want[1001][1] == 1000 and len({c for _, c in want.values()}) == len(docs) - 1
+    got = minhash.minhash_dedup(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+@pytest.mark.parametrize("rows", [2000, 7])
+def test_blocks_of_a_bucket(spark, monkeypatch, rows):
+    monkeypatch.setattr(minhash, "MEET_ROWS", rows)
+    rng = np.random.default_rng(3)
+    signatures = rng.integers(0, 9, (40, minhash.SYMBOLS)).astype(np.uint16)
+    signatures[30] = signatures[11]
+    signatures[30, :40] += 20
+    blob = minhash._squeeze(np.full(40, 5, np.uint64), np.arange(40), np.arange(40))
+    members = minhash._mixed(pa.table({"blob": pa.array([blob], pa.binary())})).to_pylist()
+    frame_ = spark.createDataFrame([(m["meet"], m["class"], m["cluster"], m["part"], m["parts"], 50, signatures[m["class"]].tobytes()) for m in members], "meet long, class long, cluster long, part int, parts int, n long, signature binary")
+    blocks = minhash._blocks(frame_, "meet", ["class", "cluster", "n", "signature"]).groupBy("meet", "p", "q")
+    assert [tuple(r) for r in blocks.applyInArrow(minhash._across_signatures, "a long, b long").collect()] == [(11, 30)]
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     rng = random.Random(2)
     a, b = prose(rng, 50), prose(rng, 50)
