@@ -3,15 +3,20 @@ personal data, and pack what is left into sequences.
 
 Each stage is given what the stage before kept, with the columns of documents; the last returns
 the packed pieces. run() writes each stage's rows to the cluster's shared folder and reads them again.
+
+Null and repeated ids: the two dedup stages tell rows apart by id and text and keep exactly one row of
+each group. The exact stage keeps the longest text, then the least id; the near stage the least id, then
+the least SHA-256 of the text. Null ids come last in both, and rows that are still alike go by the order
+of their text and then of their other columns. A null text is equal to an empty or blank one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Stage, load
-from lattica.llm.exact_dedup import exact_dedup
+from lattica.llm.exact_dedup import exact_dedup, normalised
 from lattica.llm.minhash import minhash_dedup
 from lattica.llm.packing import pack_documents
 from lattica.llm.pii import redact
@@ -23,17 +28,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, carry=True).where("not toxic").select(*docs.columns)
 
 
-def _first_of(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+def _first_of(docs: DataFrame, row: Column, verdicts: DataFrame, row_of: str) -> DataFrame:
+    """One row of docs for each (doc_id, row) that a verdict keeps."""
+    key = lambda r: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(r, F.lit("-")))
+    kept = verdicts.where("kept").select(key(F.col(row_of)).alias("_kept")).distinct()
+    held = docs.withColumn("_row", key(row)).join(kept, F.col("_row") == F.col("_kept"), "left_semi")
+    first = Window.partitionBy("_row").orderBy(F.length("text").desc_nulls_last(), *docs.columns)
+    return held.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _first_of(docs, exact_dedup(docs))
+    return _first_of(docs, F.sha2(normalised(F.col("text")).cast("binary"), 256), exact_dedup(docs), "text_sha256")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _first_of(docs, minhash_dedup(docs))
+    row = F.sha2(F.col("text").cast("binary"), 256)
+    return _first_of(docs, row, minhash_dedup(docs, row=row), "row")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ it finds) and no link between texts that share a bucket and pass the limit is lo
 compared from the texts of candidates alone, which a binary-fuse filter picks out of the second scan.
 
 Nulls: a null or blank text has the empty set and links with nothing. Rows that repeat an id are
-rows of their own. A null id never names a component that has another id. An empty table gives an
+rows of their own; with a row column given, exactly one of them is kept. A null id never names a component that has another id. An empty table gives an
 empty result. Texts are whole at any length.
 """
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import _squeeze, _unsqueeze
@@ -106,8 +106,9 @@ def _sketch(rows):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    batch.column(2).slice(lo, hi - lo),
                 ],
-                names=["id", "n", "class", "signature"],
+                names=["id", "n", "class", "signature", "row"],
             )
 
 
@@ -351,14 +352,18 @@ def _confirm(edges: Stage, texts: Stage, percent: int) -> DataFrame:
     return members.groupBy("a", "part").cogroup(centres.groupBy("a", "part")).applyInArrow(compare, "a long, b long")
 
 
-def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row. percent: the least similarity, 75 and up."""
+def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75, row: Column | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row. percent: the least similarity, 75 and up.
+
+    row: text that tells rows of one id apart. It is returned as row, and kept is then true for the
+    component's least (id, row) alone, null ids last; without it, for all rows of the component's least id.
+    """
     if percent < 75:
         raise ValueError("signatures are laid out for a similarity of 0.75 and more")
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketches = Stage(rows.mapInArrow(_sketch, "id long, n long, class long, signature binary"), "sketches")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), (F.lit(None) if row is None else row).cast("string").alias("row"))
+    sketches = Stage(rows.mapInArrow(_sketch, "id long, n long, class long, signature binary, row string"), "sketches")
     classes = sketches.df.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = Stage(classes, "classes")
 
@@ -398,7 +403,12 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
 
     named = classes.df.select("class", "id").join(comps.df.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = Stage(named.join(least, "root").select("class", "component_id"), "named")
-    out = sketches.df.select("id", "n", "class").join(named.df, "class", "left")
+    named = Stage(named.join(least, "root").select("class", "root", "component_id"), "named")
+    out = sketches.df.select("id", "n", "class", "row").join(named.df, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    if row is not None:
+        place = F.struct(F.col("id").isNull(), "id", "row")
+        first = out.where("root is not null").groupBy("root").agg(F.min(place).alias("first"))
+        kept = F.col("class").isNull() | place.eqNullSafe(F.col("first"))
+        return out.join(first, "root", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), "row", kept.alias("kept"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(id).eqNullSafe(F.col("component_id")))

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of what they keep."""
 
+import hashlib
+
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -41,3 +43,18 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows.columns)
     assert rows.count() > 0
+
+
+def test_dedup_stages_keep_one_row_of_a_group_with_null_and_repeated_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a"), (1, "a"), (2, "A"), (1, "A"), (None, "alone"), (None, "alone"), (None, "b c"), (3, "bc"), (4, "p q"), (4, "pq")]
+    rows += [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.exact(spark, df, SF).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(1, "a"), (1, "A"), (None, "alone"), (None, "b c"), (4, "p q"), (None, "")])
+    rows = [(1, long), (1, long), (1, long + " x"), (2, long.upper()), (None, long + " y"), (None, "alone here"), (None, "Alone here"), (1, "other"), (None, None), (5, "last"), (None, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near(spark, df, SF).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, min(long, long + " x", key=digest)), (None, min("alone here", "Alone here", key=digest)), (1, "other"), (None, None), (5, "last")]
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in want)
