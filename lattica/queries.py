@@ -679,6 +679,12 @@ def code_sanitize(t: Tables):
     return t.pages.where(~F.col("html").rlike(rare)).select("page_id", F.sha2(text.code_sanitize(F.col("html")), 256).alias("sha"))
 
 
+@query()
+def code_sanitize_pages(t: Tables):
+    """All pages, null ones too; code_sanitize holds those that its SQL can say."""
+    return t.pages.select("page_id", F.sha2(text.code_sanitize(F.col("html")), 256).alias("sha"))
+
+
 @query("""
 SELECT kind AS class, sum(n)::BIGINT AS count, count(DISTINCT page_id) AS pages FROM (
   SELECT page_id, 'replacement_char' AS kind, length(regexp_replace(html, '[^\\x{FFFD}]', '', 'g')) AS n FROM pages

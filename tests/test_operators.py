@@ -1,14 +1,18 @@
 """Operators and sources on small inputs."""
 
+import hashlib
 import json
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries  # noqa: F401  (registers)
 from lattica.operators import edits, formats, layout, lookup, markdown, quality, rows, specs, text, windows
 from lattica.operators.criteria import criterion
 from lattica.plans.workbook import evaluate, template
+from lattica.registry import QUERIES
 from lattica.sources import delimited, packages, products
 from lattica.streaming import events
 
@@ -294,3 +298,29 @@ def test_replayed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["path"]: r["v"] for r in spark.read.parquet(str(tmp_path / "state/version=0")).collect()} == {"a": "2", "b": "3"}
+
+
+def _code_sanitized(raw):
+    """The rules of code_sanitize, plainly."""
+    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "mdash": "—", "ndash": "–", "hellip": "…", "bull": "•", "copy": "©", "reg": "®", "trade": "™", "times": "×", "divide": "÷", "plusmn": "±", "deg": "°", "micro": "µ", "para": "¶", "sect": "§", "middot": "·", "laquo": "«", "raquo": "»"}
+    for k, v in names.items():
+        raw = raw.replace(f"&{k};", v)
+    point = lambda m, n: chr(n) if 0 < n < 0xD800 or 0xDFFF < n < 0x110000 else m[0]
+    raw = re.sub("&#[xX]([0-9A-Fa-f]{1,6});", lambda m: point(m, int(m[1], 16)), raw)
+    raw = re.sub("&#([0-9]{1,7});", lambda m: point(m, int(m[1])), raw)
+    raw = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: point(m, int(m[1], 16)), raw)
+    for tag, odd, plain in (("super", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-"), ("sub", "₀₁₂₃₄₅₆₇₈₉₊₋", "0123456789+-")):
+        raw = re.sub(f"[{odd}]+", lambda m: f"<{tag}>{m[0].translate(str.maketrans(odd, plain))}</{tag}>", raw)  # noqa: B023
+    for a, b in zip("‘’“”–—…×≥≤≠≈∞−±∧∨·", ["'", "'", '"', '"', "-", "--", "...", "x", ">=", "<=", "!=", "~=", "inf", "-", "+/-", "AND", "OR", "-"], strict=True):
+        raw = raw.replace(a, b)
+    return raw
+
+
+def test_code_sanitize_pages_covers_all_pages(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    odd = [(-1, None), (-2, ""), (-3, r"x&sup;² &lt; &#65;&#x4e2d; H₂O&times;… \u0041 &#xD800;"), (-4, "‘a’ &amp;copy; ≥≤≠≈∞−±∧∨·")]
+    pages = pages.select("page_id", "html").union(spark.createDataFrame(odd, "page_id long, html string"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    want = {r["page_id"]: None if r["html"] is None else hashlib.sha256(_code_sanitized(r["html"]).encode()).hexdigest() for r in pages.collect()}
+    got = {r["page_id"]: r["sha"] for r in QUERIES["code_sanitize_pages"](spark, str(tmp_path)).collect()}
+    assert len(want) == 54 and got == want
