@@ -280,6 +280,18 @@ def matrix_product(t: Tables):
     return rounded(lookup.mmult(a, b))
 
 
+@query("""
+WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
+SELECT a.k AS row, b.k AS col, round(sum(CAST(a.x AS DOUBLE) * b.x), 4) + 0.0 AS value FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2
+""")
+def matrix_gram(t: Tables):
+    """MMULT of the transpose with the matrix of all vectors: dimension by dimension, small by its shape."""
+    v = t.embeddings.select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    a = v.select(F.col("k").alias("row"), F.col("vec_id").alias("col"), F.col("x").cast("double").alias("value"))
+    b = v.select(F.col("vec_id").alias("row"), F.col("k").alias("col"), F.col("x").cast("double").alias("value"))
+    return rounded(lookup.mmult(a, b))
+
+
 @query("""
 SELECT event_id, 'user ' || user_id || ' did ' || event_type || ' k=' || json_extract_string(props, '$.k') || ' {{none}} ' AS text, 3 AS hits FROM events
 """)

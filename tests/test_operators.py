@@ -324,3 +324,11 @@ def test_code_sanitize_pages_covers_all_pages(spark, tmp_path):
     want = {r["page_id"]: None if r["html"] is None else hashlib.sha256(_code_sanitized(r["html"]).encode()).hexdigest() for r in pages.collect()}
     got = {r["page_id"]: r["sha"] for r in QUERIES["code_sanitize_pages"](spark, str(tmp_path)).collect()}
     assert len(want) == 54 and got == want
+
+
+def test_matrix_gram_reads_all_vectors(spark, tmp_path):
+    vectors = [(k, [float(k), 1.0, -2.0]) for k in range(100)] + [(100, None), (101, [])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["row"], r["col"]): r["value"] for r in QUERIES["matrix_gram"](spark, str(tmp_path)).collect()}
+    s1, s2 = sum(range(100)), sum(k * k for k in range(100))
+    assert got == {(0, 0): s2, (0, 1): s1, (1, 0): s1, (0, 2): -2 * s1, (2, 0): -2 * s1, (1, 1): 100, (1, 2): -200, (2, 1): -200, (2, 2): 400}
