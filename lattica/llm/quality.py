@@ -4,12 +4,16 @@ A text is compressed twice, with a dictionary of each class; the difference of t
 the text's length says which class it resembles. A logistic curve, fitted on labelled rows that
 neither dictionary holds, turns it into a probability.
 
-The fit reads at most FIT_ROWS labelled rows of each class, those of smallest hash, in one task; each
-dictionary holds at most DICTIONARY_BYTES, of at most SAMPLE_BYTES from a row. Scores read whole texts.
+The fit reads at most FIT_ROWS labelled rows of each class, those of smallest hash. In that order whole
+texts go into the class's dictionary as long as they fit in its bound: DICTIONARY_BYTES or, if less, TENTHS
+tenths of the smaller class, so that both dictionaries are about as large; no text is cut. All other chosen
+rows are for the curve: each is compressed where it lies, and only its difference comes to the driver. The
+curve's shift is then moved to the shares of all labelled rows. Scores read whole texts.
 
 Nulls: a null text is empty and gets the curve's value at 0; null labels are not fitted on. Without
 labelled rows of both classes every score is the share of ones, or 0.5 without any. Repeated rows
-each get a row. An empty table gives an empty result.
+each get a row; of rows that share a labelled id the fit takes the least text. An empty table gives an
+empty result. Columns of other names, whatever they are, are not read.
 """
 
 from __future__ import annotations
@@ -21,12 +25,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from lattica.llm.common import Stage
+
+#: Bounds of the fit: labelled rows of each class, bytes of each dictionary.
 FIT_ROWS = 3000
 DICTIONARY_BYTES = 512 << 10
-SAMPLE_BYTES = 1000
-#: Of each class, so many of ten rows go to the dictionary and the others to the curve.
+#: The dictionaries take at most so many tenths of the bytes of the smaller class.
 TENTHS = 6
+#: With fewer rows than this outside the dictionaries, the curve is fitted on all of them.
+LEAST_CURVE_ROWS = 20
 LEVEL = 6
 
 
@@ -67,21 +76,20 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit_texts(texts: list[bytes], quality: np.ndarray) -> CompressionModel:
-    if not len(texts) or quality.all() or not quality.any():
-        share = float(quality.mean()) if len(texts) else 0.5
-        return CompressionModel(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    raws, rest = [], []
-    for k in (0, 1):
-        mine = np.flatnonzero(quality == k)
-        inside = mine[np.arange(len(mine)) % 10 < TENTHS]
-        raws.append(b"\n".join(texts[i][:SAMPLE_BYTES] for i in inside)[:DICTIONARY_BYTES] or b"\n")
-        rest += mine[np.arange(len(mine)) % 10 >= TENTHS].tolist()
-    model = CompressionModel(*raws, 0.0, 0.0)
-    if len(rest) < 20:
-        rest = list(range(len(texts)))
-    model.slope, model.shift = _curve(np.array([model.difference(texts[i]) for i in rest]), quality[rest])
-    return CompressionModel(*raws, model.slope, model.shift)
+def _constant(share: float) -> CompressionModel:
+    return CompressionModel(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+
+
+def dictionary_rows(quality: np.ndarray, size: np.ndarray, most: int = DICTIONARY_BYTES) -> np.ndarray:
+    """Which rows, in the given order, go whole into the dictionary of their class: those that still fit in."""
+    least = min(int(size[quality == k].sum()) for k in (0, 1))
+    bound, used = min(most, least * TENTHS // 10), [0, 0]
+    inside = np.zeros(len(size), bool)
+    for i, (k, n) in enumerate(zip(quality.tolist(), size.tolist(), strict=True)):
+        if n and used[k] + n + 1 <= bound:
+            used[k] += n + 1
+            inside[i] = True
+    return inside
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> CompressionModel:
@@ -90,25 +98,48 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     known = known.groupBy("id").agg(F.min("y").alias("y"))
     ranked = [known.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
     some = ranked[0].union(ranked[1])  # bounded: 2 * rows ids
+    picked = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "id")
+    picked = Stage(picked.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
+    try:
+        return _fit(picked.df, known)
+    finally:
+        picked.drop()
+
+
+def _fit(picked: DataFrame, known: DataFrame) -> CompressionModel:
+    """picked: at most 2 * rows (id, y, text) rows; known: all labels."""
+    sized = picked.select("id", "y", F.octet_length("text").alias("size"), F.xxhash64("id").alias("rank")).collect()  # bounded numbers
+    sized.sort(key=lambda r: (r["rank"], r["id"]))
+    quality, size = np.array([r["y"] for r in sized], int), np.array([r["size"] for r in sized], int)
+    if not len(quality) or quality.all() or not quality.any():
+        return _constant(float(quality.mean()) if len(quality) else 0.5)
+    inside = dictionary_rows(quality, size)
+    ids = [r["id"] for r in sized]
+    place = {i: k for k, i in enumerate(ids)}
+    chosen = [i for i, held in zip(ids, inside, strict=True) if held]
+    spark = picked.sparkSession
+    named = F.broadcast(spark.createDataFrame([(i,) for i in chosen], picked.select("id").schema))
+    texts = sorted(picked.join(named, "id", "left_semi").collect(), key=lambda r: place[r["id"]])  # at most two dictionaries' bytes
+    raws = [b"\n".join(r["text"].encode() for r in texts if r["y"] == k) or b"\n" for k in (0, 1)]
+    rest = picked.join(named, "id", "left_anti") if (~inside).sum() >= LEAST_CURVE_ROWS else picked
+    shared = spark.sparkContext.broadcast((*raws, 0.0, 0.0))
+
+    def compare(batches):
+        model = _model(shared.value)
+        for batch in batches:
+            x = [model.difference(t.as_py().encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(x, pa.float64())], names=["id", "y", "x"])
+
+    schema = StructType(picked.schema.fields[:1]).add("y", "integer").add("x", "double")
+    told = sorted(rest.select("id", "y", "text").mapInArrow(compare, schema).collect(), key=lambda r: place[r["id"]])  # bounded numbers
+    x, y = np.array([r["x"] for r in told]), np.array([r["y"] for r in told])
+    if y.all() or not y.any():
+        return _constant(float(quality.mean()))
+    slope, shift = _curve(x, y)
     shares = known.agg(F.sum("y").alias("ones"), F.count("*").alias("all")).first()
-    picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")
-
-    def fit(table):
-        table = table.sort_by([("id", "ascending")])
-        model = fit_texts([(t or "").encode() for t in table["text"].to_pylist()], np.asarray(table["y"]))
-        bad, good, slope, shift = model.parts
-        return pa.table({"bad": pa.array([bad], pa.binary()), "good": pa.array([good], pa.binary()), "slope": [slope], "shift": [shift]})
-
-    made = picked.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(fit, "bad binary, good binary, slope double, shift double").first()
-    if made is None:
-        return fit_texts([], np.zeros(0))
-    model = CompressionModel(bytes(made["bad"]), bytes(made["good"]), made["slope"], made["shift"])
-    if not model.zips or not shares["ones"] or shares["ones"] == shares["all"]:
-        return model
-    # the classes were fitted in other shares than they have: the shift says the shares of all labelled rows
     ones, zeros = shares["ones"], shares["all"] - shares["ones"]
-    shift = model.shift + np.log(ones / zeros) - np.log(min(rows, ones) / min(rows, zeros))
-    return CompressionModel(bytes(made["bad"]), bytes(made["good"]), model.slope, float(shift))
+    # the curve was fitted in other shares than the classes have: the shift says the shares of all labelled rows
+    return CompressionModel(*raws, slope, float(shift + np.log(ones / zeros) - np.log(y.sum() / (len(y) - y.sum()))))
 
 
 @functools.lru_cache(2)
@@ -127,6 +158,4 @@ def score_quality(docs: DataFrame, model: CompressionModel, id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[id, "score", "predicted"])
 
     rows = docs.select(F.col(id), F.col(text).alias("_text"))
-    from pyspark.sql.types import StructType
-
     return rows.mapInArrow(run, StructType(rows.schema.fields[:1]).add("score", "double").add("predicted", "integer"))
