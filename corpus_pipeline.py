@@ -7,7 +7,9 @@ the packed pieces. run() writes each stage's rows to the cluster's shared folder
 Null and repeated ids: the two dedup stages tell rows apart by id and text and keep exactly one row of
 each group. The exact stage keeps the longest text, then the least id; the near stage the least id, then
 the least SHA-256 of the text. Null ids come last in both, and rows that are still alike go by the order
-of their text and then of their other columns. A null text is equal to an empty or blank one.
+of their text and then of the whole row as JSON. A null text is equal to an empty or blank one, is never
+toxic, has nothing to redact and is packed as its end id. An empty table goes through all stages as one.
+Further columns of any name and type are kept as they are by all stages but the last, which packs doc_id and text.
 """
 
 from __future__ import annotations
@@ -20,21 +22,22 @@ from lattica.llm.exact_dedup import exact_dedup, normalised
 from lattica.llm.minhash import minhash_dedup
 from lattica.llm.packing import pack_documents
 from lattica.llm.pii import redact
-from lattica.llm.toxicity import fit_toxicity, score_toxicity
+from lattica.llm.toxicity import fit_toxicity, reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, load(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model, carry=True).where("not toxic").select(*docs.columns)
+    return reject_toxic(docs, model)
 
 
 def _first_of(docs: DataFrame, row: Column, verdicts: DataFrame, row_of: str) -> DataFrame:
-    """One row of docs for each (doc_id, row) that a verdict keeps."""
-    key = lambda r: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(r, F.lit("-")))
-    kept = verdicts.where("kept").select(key(F.col(row_of)).alias("_kept")).distinct()
-    held = docs.withColumn("_row", key(row)).join(kept, F.col("_row") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy("_row").orderBy(F.length("text").desc_nulls_last(), *docs.columns)
-    return held.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(*docs.columns)
+    """One row of docs for each (doc_id, row) that a verdict keeps; docs' rows stand in a struct, whatever their names."""
+    key = lambda i, r: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(r, F.lit("-")))
+    kept = verdicts.where("kept").select(key(F.col("doc_id"), F.col(row_of)).alias("key")).distinct()
+    doc = F.col("doc")
+    held = docs.select(key(F.col("doc_id"), row).alias("key"), F.struct(*docs.columns).alias("doc")).join(kept, "key", "left_semi")
+    first = Window.partitionBy("key").orderBy(F.length(doc["text"]).desc_nulls_last(), doc["text"], F.to_json(doc))
+    return held.withColumn("place", F.row_number().over(first)).where("place = 1").select(*(doc[c].alias(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
