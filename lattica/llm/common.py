@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -23,11 +24,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is unset (tests, a laptop) a local folder is made and set.
+    Only where the setting is unset and everything runs on one machine, a local folder is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="lattica-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -63,6 +66,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_heavy(left: DataFrame, right: DataFrame, on: str, weight: str, rows: int, how: str = "left") -> DataFrame:
+    """left joined with right, which has one row for each value of `on`; weight: how many of left's `rows` rows have it.
+
+    Values that hold more than a quarter of a partition's share are joined by broadcast, so that none fills a task;
+    there are at most four for each shuffle partition, whatever the data. The others meet in the shuffle.
+    """
+    most = rows // (4 * shuffle_width(left.sparkSession)) + 1
+    heavy = F.broadcast(right.where(F.col(weight) > most))
+    light = right.where(F.col(weight) <= most)
+    return left.join(heavy, on).unionByName(left.join(heavy.select(on), on, "left_anti").join(light, on, how))
+
+
 # ---------------------------------------------------------------- Arrow helpers
 
 

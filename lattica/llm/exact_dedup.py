@@ -4,10 +4,13 @@ Rows fall into an immutable snapshot and an incoming batch. Each batch is first
 per digest (map-side combined, so a text that fills a third of the table costs one row a task).
 The snapshot's digests become one three-wise binary-fuse filter per digest shard; the incoming
 digests are screened shard by shard. Only positives join the snapshot's exact buckets; digests
-that repeat within a batch are grouped without the filter. The texts behind every digest that is
-shared are then compared byte by byte: a group is one text exactly when its least and its greatest
-normalised text are the same, which again combines map-side; a digest with several texts is
-regrouped by the text itself.
+that repeat within a batch are grouped without the filter. The filters of a snapshot can be kept: save_filters()
+writes them, and exact_dedup() takes them as they were saved.
+
+The texts behind every digest that is shared are then compared byte by byte: each task sends a distinct
+text once, compressed, to the digests that are suspect; a group is one text exactly when its least and its
+greatest text are the same, which combines map-side; a digest with several texts is regrouped by the text
+itself. Digests of many rows are joined by broadcast, of which there are at most four a partition.
 
 Nulls: a null text is an empty one, and empty texts equal each other. Null ids sort behind all
 others. Repeated rows are members of their group like any other. An empty table gives an empty
@@ -18,15 +21,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, Stage, mix, shuffle_width
+from lattica.llm.common import U64, Stage, join_heavy, mix, shuffle_width
 
 #: Keys of one filter, at most about this many.
 SHARD_KEYS = 1 << 18
-#: A filter over all suspect digests is broadcast to the second scan only up to this many bytes.
-BROADCAST_BYTES = 32 << 20
+#: Distinct texts that a task holds at a time, by their compressed bytes and by number.
+TASK_BYTES = 16 << 20
+TASK_TEXTS = 1 << 17
 
 
 class FuseFilter:
@@ -149,62 +154,88 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(ask, "shard long, key long, digest binary")
 
 
-def broadcast_filter(keys: DataFrame):
-    """A broadcast filter over a long column, or None where it would pass BROADCAST_BYTES."""
-    if 2 * keys.count() > BROADCAST_BYTES:
-        return None
-    made = build_filters(keys.select(F.lit(0).cast("long").alias("shard"), F.coalesce(keys.columns[0], F.lit(0)).alias("key"))).first()
-    return keys.sparkSession.sparkContext.broadcast(bytes(made["filter"]) if made else FuseFilter.build(np.zeros(0, np.int64)).to_bytes())
+def _digests(docs: DataFrame, in_snapshot: Column | None, id: str, text: str, digest) -> DataFrame:
+    """(id, old, norm, n) of each row."""
+    if in_snapshot is None:
+        in_snapshot = F.pmod(F.xxhash64(id), F.lit(2)) == 0
+    return docs.select(F.col(id).alias("id"), F.coalesce(in_snapshot, F.lit(False)).alias("old"), normalised(F.col(text)).alias("norm"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
+
+
+def _sharded(digests: DataFrame, shards: int) -> DataFrame:
+    return digests.withColumn("key", _key("digest")).withColumn("shard", F.pmod(F.col("key"), F.lit(shards)))
+
 
+def save_filters(snapshot: DataFrame, path: str, text: str = "text", digest=sha256) -> None:
+    """Writes the filters of an immutable snapshot's texts under path, for later batches to be screened by."""
+    digests = snapshot.select(digest(normalised(F.col(text))).alias("digest")).distinct()
+    digests = Stage(digests, "snapshot")
+    shards = max(shuffle_width(snapshot.sparkSession), digests.df.count() // SHARD_KEYS + 1)
+    build_filters(_sharded(digests.df, shards)).withColumn("shards", F.lit(shards)).write.parquet(path)
+    digests.drop()
 
-def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id: str = "doc_id", text: str = "text", digest=sha256, filters: str | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row.
 
     in_snapshot: true for rows of the immutable snapshot; by default half of the ids, by hash.
+    filters: where save_filters() has put those of the snapshot; else they are built from its rows.
     """
     spark = docs.sparkSession
-    if in_snapshot is None:
-        in_snapshot = F.pmod(F.xxhash64(id), F.lit(2)) == 0
-    rows = docs.select(F.col(id).alias("id"), in_snapshot.alias("old"), normalised(F.col(text)).alias("norm"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
-    light = Stage(rows.select("id", F.coalesce("old", F.lit(False)).alias("old"), digest(F.col("norm")).alias("digest"), "n"), "digests")
-    best = F.max(F.struct(F.col("n"), (-F.col("id")).alias("less"))).alias("best")
+    rows = _digests(docs, in_snapshot, id, text, digest)
+    light = Stage(rows.select("id", "old", digest(F.col("norm")).alias("digest"), "n"), "digests")
+    total = light.df.count()
+    best = F.max(F.struct(F.col("n"), F.bitwise_not("id").alias("less"))).alias("best")  # of the longest, the least id; a null id last
     groups = light.df.groupBy("old", "digest").agg(F.count("*").alias("size"), best)
-    shards = max(shuffle_width(spark), light.df.count() // SHARD_KEYS + 1)
-    groups = groups.withColumn("key", _key("digest")).withColumn("shard", F.pmod(F.col("key"), F.lit(shards)))
-    groups = Stage(groups, "batches")
+    saved = spark.read.parquet(filters) if filters else None
+    shards = saved.agg(F.max("shards")).first()[0] if filters else None
+    shards = shards or max(shuffle_width(spark), total // SHARD_KEYS + 1)
+    groups = Stage(_sharded(groups, shards), "batches")
     old, new = groups.df.where("old"), groups.df.where("not old")
 
-    positives = screen(new, build_filters(old)).select("digest")
+    positives = screen(new, saved.select("shard", "filter") if filters else build_filters(old)).select("digest")
     shared = positives.join(old.select("digest"), "digest")
     repeated = groups.df.where("size > 1").select("digest")
     suspects = Stage(shared.union(repeated).distinct(), "suspects")
 
-    texts = _suspect_texts(rows.select("id", "n", digest(F.col("norm")).alias("digest"), "norm"), suspects)
-    checked = texts.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).select("digest", (F.col("lo") == F.col("hi")).alias("one"))
-    checked = Stage(checked.join(suspects.df, "digest", "left_semi"), "checked")
+    texts = rows.select(digest(F.col("norm")).alias("digest"), "norm").mapInArrow(_distinct_texts, "digest binary, text binary")
+    texts = texts.join(suspects.df, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    checked = Stage(texts.select("digest", (F.col("lo") == F.col("hi")).alias("one")), "checked")
 
     one = checked.df.where("one").select("digest")
     joined = groups.df.join(one, "digest", "left_semi").groupBy("digest").agg(F.sum("size").alias("group_size"), F.max("best").alias("best"))
-    joined = joined.select("digest", "group_size", (-F.col("best.less")).alias("keep_id"))
-    out = light.df.join(joined, "digest", "left").join(checked.df.where("not one").select("digest"), "digest", "left_anti")
+    joined = Stage(joined.select("digest", "group_size", F.bitwise_not("best.less").alias("keep_id")), "groups").df
+    mixed = checked.df.where("not one").select("digest")
+    out = join_heavy(light.df.select("id", "digest"), joined, "digest", "group_size", total).join(mixed, "digest", "left_anti")
     out = out.select("id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest")
-    if checked.df.where("not one").limit(1).count():  # texts of one digest that differ: group by the bytes themselves
-        mixed = texts.join(checked.df.where("not one").select("digest"), "digest", "left_semi")
-        split = mixed.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), best).select("digest", "norm", "group_size", (-F.col("best.less")).alias("keep_id"))
-        out = out.union(mixed.join(split, ["digest", "norm"]).select("id", "keep_id", "group_size", "digest"))
+    if mixed.limit(1).count():  # texts of one digest that differ: group by the bytes themselves
+        texts = rows.select("id", "n", digest(F.col("norm")).alias("digest"), "norm").join(mixed, "digest", "left_semi")
+        split = texts.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), best).select("digest", "norm", "group_size", F.bitwise_not("best.less").alias("keep_id"))
+        out = out.union(texts.join(split, ["digest", "norm"]).select("id", "keep_id", "group_size", "digest"))
+    for stage in (groups, suspects):
+        stage.drop()
     return out.select(F.col("id").alias(id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _suspect_texts(rows: DataFrame, suspects: Stage) -> DataFrame:
-    """The rows whose digest may be a suspect. Beyond BROADCAST_BYTES all rows go on; the result is the same."""
-    blob = broadcast_filter(suspects.df.select(_key("digest").alias("key")))
-    if blob is None:
-        return rows
-
-    @F.pandas_udf("boolean")
-    def suspected(key):
-        import pandas as pd
-
-        return pd.Series(FuseFilter.from_bytes(blob.value).holds(key.to_numpy().astype(U64)), index=key.index)
-
-    return rows.where(suspected(_key("digest")))
+def _distinct_texts(batches):
+    """(digest, compressed text) of the distinct texts of a task's rows; equal texts have equal bytes here too."""
+    zip_ = zstandard.ZstdCompressor(level=3)
+    held: set[tuple[bytes, bytes]] = set()
+    size = 0
+
+    def flush():
+        pairs = sorted(held)
+        for lo in range(0, len(pairs), 1000):
+            some = pairs[lo : lo + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.binary()), pa.array([t for _, t in some], pa.binary())], names=["digest", "text"])
+
+    for batch in batches:
+        for digest, text in zip(batch.column(0), batch.column(1), strict=True):
+            pair = digest.as_py(), zip_.compress(text.as_buffer() or b"")
+            if pair not in held:
+                held.add(pair)
+                size += len(pair[1])
+                if size >= TASK_BYTES or len(held) >= TASK_TEXTS:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+    yield from flush()
