@@ -15,10 +15,12 @@ candidates, and candidates give clusters. A bucket whose members do not all hang
 along candidates (its centre is unlike some of them) is compared whole, signature by signature and
 across such clusters, in blocks of MEET_ROWS; what passes the limit joins the candidates. So every pair that shares a bucket
 and passes the limit is in one cluster. Confirmed candidates give components. A cluster that still
-holds two components or more is compared across its components in blocks of CLUSTER_ROWS, so that
+holds two components or more is compared across its components in blocks of CLUSTER_ROWS: a large component
+fills parts of its own, which never meet each other, so its texts go only to where other components are. So
 no cluster is one task's load, no pair is emitted (a block of either kind gives a forest of the links
 it finds) and no link between texts that share a bucket and pass the limit is lost. Full sets are
-compared from the texts of candidates alone, which a binary-fuse filter picks out of the second scan.
+compared from the texts of candidates alone: the second scan sends each text compressed to a join with the
+candidates' rows, which Spark makes a broadcast where they measure little. Buckets grow in number with the classes.
 
 Nulls: a null or blank text has the empty set and links with nothing. Rows that repeat an id are
 rows of their own; with a row column given, exactly one of them is kept. A null id never names a component that has another id. An empty table gives an
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from lattica.llm.bpe import _squeeze, _unsqueeze
 from lattica.llm.common import LOWER, U64, Stage, bytes_of, cut_rows, flat_ranges, mix, shuffle_width, span_hashes, words_of
 from lattica.llm.components import connected_components
-from lattica.llm.exact_dedup import FuseFilter, broadcast_filter
 
 SHINGLE = 5
 CHUNKS, CHUNK = 16, 6
@@ -47,6 +48,8 @@ MEET_ROWS = 2000
 STAR_ROWS = 500
 PIECE_BYTES = 1 << 20
 TASK_CLASSES = 1 << 15
+#: A bucket task gets the keys of about so many classes.
+BUCKET_CLASSES = 1 << 14
 
 _random = np.random.default_rng(5)
 _WORD = _random.integers(1, 1 << 63, SHINGLE, dtype=U64) * U64(2) + U64(1)
@@ -107,8 +110,9 @@ def _sketch(rows):
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     batch.column(2).slice(lo, hi - lo),
+                    batch.column(3).slice(lo, hi - lo),
                 ],
-                names=["id", "n", "class", "signature", "row"],
+                names=["id", "n", "class", "signature", "row", "hash"],
             )
 
 
@@ -301,28 +305,48 @@ def _similar(edges: DataFrame, classes: Stage) -> DataFrame:
 
 
 def _candidate_texts(docs: DataFrame, edges: Stage, classes: Stage) -> Stage:
-    """(class, text) of one row of each class that has an edge; texts are compressed."""
+    """(class, text) of one row of each class that has an edge; texts are compressed. docs: (id, hash of the text, text)."""
     nodes = edges.df.select(F.col("a").alias("class")).union(edges.df.select("b")).distinct()
-    nodes = Stage(nodes.join(classes.df.select("class", "id"), "class"), "nodes")
-    blob = broadcast_filter(nodes.df.select(F.col("id").alias("key")))
+    nodes = Stage(nodes.join(classes.df.select("class", "at"), "class").select("class", "at.*"), "nodes")
 
-    def fetch(rows):
-        picked = FuseFilter.from_bytes(blob.value) if blob is not None else None
-        zip_ = zstandard.ZstdCompressor(level=3)
+    def send(rows):
+        zip_ = zstandard.ZstdCompressor(level=1)
         for batch in rows:
-            if picked is not None and batch.num_rows:
-                batch = batch.filter(pa.array(picked.holds(np.asarray(batch.column(0).fill_null(0)))))
-            data, offsets = bytes_of(batch.column(1))
-            for lo, hi in cut_rows(offsets, PIECE_BYTES):
-                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                texts = [zip_.compress(data[a:b].tobytes()) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(texts, pa.binary())], names=["id", "class", "text"])
-
-    texts = docs.mapInArrow(fetch, "id long, class long, text binary")
-    wanted = nodes.df.select(F.col("class").alias("wanted"), F.col("id").alias("wanted_id"))
-    same = (F.col("class") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("wanted_id"))
-    texts = texts.join(wanted, same, "left_semi").groupBy("class").agg(F.min("text").alias("text"))
-    return Stage(texts, "candidates")
+            seen = set()
+            first = [k for k, x in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if x not in seen and not seen.add(x)]
+            batch = batch.take(pa.array(first, pa.int64()))
+            data, offsets = bytes_of(batch.column(2))
+            texts = [zip_.compress(data[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "hash", "text"])
+
+    texts = docs.select("id", "hash", "text").mapInArrow(send, "id long, hash long, text binary")
+    wanted = nodes.df.select("class", F.col("id").alias("wanted_id"), F.col("hash").alias("wanted"))
+    same = (F.col("hash") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("wanted_id"))
+    texts = Stage(texts.join(wanted, same).groupBy("class").agg(F.min("text").alias("text")), "candidates")
+    nodes.drop()
+    return texts
+
+
+def _cluster_blocks(clusters: DataFrame) -> DataFrame:
+    """(cluster, p_owner, p, q_owner, q, side, class, comp): the blocks in which two components of a cluster meet.
+
+    A component of CLUSTER_ROWS classes or more has parts of its own (owner: the component); smaller ones share
+    parts (owner: null), each whole in one. Two parts meet unless both hold one and the same component.
+    """
+    comps = clusters.groupBy("cluster", "comp").agg(F.count("*").alias("rows"))
+    mixed = comps.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.when(F.col("rows") < CLUSTER_ROWS, F.col("rows"))).alias("small")).where("lo < hi")
+    comps = comps.join(mixed.select("cluster", "small"), "cluster")
+    large = F.col("rows") >= CLUSTER_ROWS
+    comps = comps.select("cluster", "comp", F.when(large, F.col("comp")).alias("owner"), F.ceil(F.when(large, F.col("rows")).otherwise(F.col("small")) / CLUSTER_ROWS).cast("int").alias("parts"))
+    spot = F.when(F.col("owner").isNull(), F.xxhash64("comp")).otherwise(F.xxhash64("class"))
+    members = Stage(clusters.join(comps, ["cluster", "comp"]).select("cluster", "class", "comp", "owner", F.pmod(spot, F.col("parts")).cast("int").alias("part")), "members").df
+    parts = members.groupBy("cluster", F.struct("owner", "part").alias("p")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    others = parts.select("cluster", F.col("p").alias("q"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
+    pairs = parts.join(others, "cluster").where("p <= q and not (lo = hi and q_lo = q_hi and lo = q_lo)").select("cluster", "p", "q")
+    members = members.select("cluster", "class", "comp", F.struct("owner", "part").alias("at"))
+    cols = ["cluster", "p", "q", "side", "class", "comp"]
+    met = lambda at, other, side: members.withColumnRenamed("at", at).join(pairs.where("p <> q") if side else pairs, ["cluster", at]).withColumn("side", F.lit(side)).select(cols)
+    return met("p", "q", 0).union(met("q", "p", 1)).select("cluster", F.to_json("p").alias("p"), F.to_json("q").alias("q"), "side", "class", "comp")
 
 
 def _confirm(edges: Stage, texts: Stage, percent: int) -> DataFrame:
@@ -361,11 +385,12 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     if percent < 75:
         raise ValueError("signatures are laid out for a similarity of 0.75 and more")
     spark = docs.sparkSession
-    buckets = shuffle_width(spark)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), (F.lit(None) if row is None else row).cast("string").alias("row"))
-    sketches = Stage(rows.mapInArrow(_sketch, "id long, n long, class long, signature binary, row string"), "sketches")
-    classes = sketches.df.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), (F.lit(None) if row is None else row).cast("string").alias("row"), F.xxhash64(text).alias("hash"))
+    sketches = Stage(rows.mapInArrow(_sketch, "id long, n long, class long, signature binary, row string, hash long"), "sketches")
+    at = F.min(F.struct("id", "hash")).alias("at")  # a row of the class whose text is fetched
+    classes = sketches.df.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"), at)
     classes = Stage(classes, "classes")
+    buckets = max(shuffle_width(spark), classes.df.count() // BUCKET_CLASSES)
 
     filed = classes.df.select("class", "signature").mapInArrow(_file(buckets), "bucket long, blob binary")
     stars = Stage(filed.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), "stars")
@@ -375,7 +400,7 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     step = near.df.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("up"))
     twice = step.join(step.select(F.col("class").alias("up"), F.col("up").alias("top")), "up", "left").select("class", F.coalesce("top", "up").alias("cluster"))
     met = stars.df.select(F.col("a").alias("class")).union(stars.df.select("b")).distinct()
-    met = met.join(twice, "class", "left").join(classes.df, "class")
+    met = met.join(twice, "class", "left").join(classes.df.select("class", "signature"), "class")
     refiled = met.select("class", F.coalesce("cluster", "class").alias("cluster"), "signature").mapInArrow(_refile(buckets), "bucket long, blob binary")
     mixed = refiled.groupBy("bucket").applyInArrow(_mixed, "meet long, class long, cluster long, part int, parts int").distinct()
     mixed = Stage(mixed, "mixed").df.join(classes.df.select("class", "n", "signature"), "class")
@@ -392,11 +417,8 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     clusters = connected_components(near.df).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     clusters = clusters.join(comps.df.withColumnRenamed("node", "class"), "class", "left").select("class", "cluster", F.coalesce("root", "class").alias("comp"))
     clusters = Stage(clusters, "clusters")
-    mixed = clusters.df.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    mixed = mixed.select("cluster", F.ceil(F.col("rows") / CLUSTER_ROWS).cast("int").alias("parts"))
-    met = clusters.df.join(mixed, "cluster").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    met = met.join(texts.df, "class")
-    more = _blocks(met, "cluster", ["class", "comp", "text"]).groupBy("cluster", "p", "q").applyInArrow(_across(percent), "a long, b long")
+    met = _cluster_blocks(clusters.df).join(texts.df, "class")
+    more = met.groupBy("cluster", "p", "q").applyInArrow(_across(percent), "a long, b long")
     more = Stage(more, "links")
     if more.df.limit(1).count():
         comps = Stage(connected_components(links.df.union(more.df)), "comps")
