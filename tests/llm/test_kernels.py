@@ -197,6 +197,13 @@ def test_warc_records():
         warc.verify(got[0][0], b"other")
     with pytest.raises(EOFError):
         list(warc.read_records([raw[:-3]]))
+    bomb = gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\n" + b"0" * 50_000_000)
+    seen = []
+    with pytest.raises(ValueError, match="inflates past"):
+        list(warc.read_records(seen.append(k) or bomb[k : k + 1000] for k in range(0, len(bomb), 1000)))
+    assert len(seen) < 3
+    with pytest.raises(ValueError, match="inflates past"):
+        list(warc.read_records([gzip.compress(b"x" * 50_000_000)]))
 
 
 def test_ordinal_model_orders_severity():

@@ -270,7 +270,8 @@ def test_archives(spark, tmp_path):
     big = "<p>é</p>" * 200
     pages = {1: big, 2: big, 3: "small", 4: "small", 5: None, 6: big + " ", 7: ""}
     rows = [(k, None if k == 3 else f"http://x/{k}", h) for k, h in pages.items()]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).withColumn("size", F.lit(1)).withColumn("digest", F.lit("x"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    df = df.select("*", *[F.lit("x").alias(c) for c in ("size", "digest", "sha", "_sha", "part", "pages", "refers_to", "response", "records")])
     made = warc.archive(df, f"{tmp_path}/out")
     got = {r["page_id"]: r for r in made.collect()}
     for k, h in pages.items():
@@ -283,6 +284,33 @@ def test_archives(spark, tmp_path):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_archives_with_null_and_repeated_pages(spark, tmp_path):
+    big, other = "x" * 1200, "y" * 1000
+    rows = [(1, "a", big), (1, "a", big), (9, "b", big), (9, "c", big), (None, "d", big), (4, None, other), (4, None, other), (None, None, None), (None, "e", "s"), (2, "f", "s")]
+    made = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"{tmp_path}/out").collect()
+    got = sorted(((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in made), key=str)
+    want = [("1", 1200, "revisit", 9)] * 2 + [("9", 1200, "response", None)] * 2 + [("None", 1200, "response", None)] + [("4", 1000, "response", None)] * 2
+    assert got == sorted([*want, ("None", 0, "response", None), ("None", 1, "response", None), ("2", 1, "response", None)], key=str)
+
+
+def test_only_counted_parts_are_read(spark, tmp_path):
+    """What a lost attempt leaves in the folder is not read; a part that is cut short or a lost record fails the job."""
+    df = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
+    rows = df.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("refers_to", F.lit(None).cast("long"))
+    path = f"{tmp_path}/parts"
+    first = warc.write_archives(rows, path, part_bytes=2000).collect()
+    parts = warc.write_archives(rows, path, part_bytes=3000).collect()  # a second attempt, cut elsewhere
+    kind = "part string, records long, bytes long"
+    table = spark.createDataFrame(parts, kind)
+    assert sorted(r["page_id"] for r in warc.read_parts(table, path).collect()) == list(range(40))
+    assert warc.read_archives(spark, path).count() == 80 and not {p["part"] for p in first} & {p["part"] for p in parts}
+    wrong = spark.createDataFrame([(p["part"], p["records"] + 1, p["bytes"]) for p in parts], kind)
+    with pytest.raises(Exception, match="records of"):
+        warc.read_parts(wrong, path).collect()
+    with pytest.raises(Exception, match="part-none"):
+        warc.read_parts(spark.createDataFrame([("part-none.warc.gz", 1, 1)], kind), path).collect()
+
+
 def test_small_archive_parts(spark, tmp_path):
     df = spark.range(50).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("html"))
     rows = df.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("refers_to", F.lit(None).cast("long"))
