@@ -3,14 +3,21 @@
 Every string of `least` bytes has an anchor: its leftmost smallest q-gram by hash, the same wherever
 the string stands. So the suffixes that can share such a string meet by their anchor's hash:
 
-1. Texts are compressed into blocks by a hash of the text, equal texts in one block.
+1. Texts are compressed into blocks by a hash of the text, equal texts once, under their smallest id.
 2. Each block asks which of its anchors stand in a second text; buckets by anchor answer.
 3. The surroundings of those anchors go to their bucket, equal ones of a block only once, under
    their smallest id. There the anchors' suffixes are sorted into a suffix array with its LCP
-   array; a stack scan gives the tree of common-prefix intervals; for each length to the right,
-   an interval's members are split by what stands to their left. A class of left extension and
-   interval is a repeat with all its occurrences, and all but those of its smallest id go.
-4. The verdicts return to the blocks, which cut the texts.
+   array, and a stack scan gives the tree of common-prefix intervals. The members of an interval
+   are sorted again by what stands to their left, and a second scan gives the intervals of common
+   left extension. One whose members differ to the left (by its making) and to the right (they lie
+   in more than one child of the interval) is a maximal repeat group, with all its occurrences. Of
+   each group of `least` bytes or more all occurrences but those of its smallest id go.
+4. The verdicts return to the blocks, which cut the texts once each; rows get their text's result by its
+   digest, and a row that repeats a text of smaller id goes whole.
+
+A group is maximal within the surroundings of its anchor, which hold every string of `least` bytes over
+that anchor (at most 2 * least - q bytes): a longer repeat comes as the groups of its anchors, which overlap and
+whose union is the repeat. So the removed bytes are those of the contract, and repeat_groups() gives the groups.
 
 An anchor or passage that a third of the corpus holds costs each block one row. Matches never cross
 documents. Ids decide, so rows of equal id never remove each other; a null id counts as the largest.
@@ -28,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import _squeeze, _unsqueeze
-from lattica.llm.common import U64, bytes_of, cut_rows, flat_ranges, mix, powers, prefix_sums, shared_dir, shuffle_width
+from lattica.llm.common import U64, Stage, bytes_of, cut_rows, flat_ranges, join_heavy, mix, powers, prefix_sums, shared_dir, shuffle_width
 
 LEAST = 50
 QGRAM = 18
 BLOCK_BYTES = 24 << 20
 SEGMENT_BYTES = 1 << 20
 TASK_BYTES = 24 << 20
+#: A bucket task gets the anchors of about so many bytes of text.
+BUCKET_BYTES = 64 << 20
 #: Bits of an anchor's hash that are sent in step 2; a chance match costs only a useless row in step 3.
 SENT_BITS = 48
 NO_ID = np.iinfo(np.int64).max
@@ -126,25 +135,19 @@ class Anchors:
 
 
 def _pieces(table, least: int):
-    """The distinct texts of a block: (ids, texts), then pieces (text numbers, bases, data, offsets) of segments."""
-    ids: list[np.ndarray] = []
-    texts: list[np.ndarray] = []
-    number: dict[bytes, int] = {}
+    """The distinct texts of a block: (smallest ids, texts), then pieces (text numbers, bases, data, offsets) of segments."""
+    smallest: dict[bytes, int] = {}
+    held: dict[bytes, np.ndarray] = {}
     for blob in table["blob"]:
-        some, counts, offsets, data = _unsqueeze(blob.as_py())
-        at = np.append(0, np.cumsum(counts))
-        for k in range(len(counts)):
+        some, offsets, data = _unsqueeze(blob.as_py())
+        for k, i in enumerate(some.tolist()):
             text = data[offsets[k] : offsets[k + 1]]
-            key = hashlib.blake2b(text, digest_size=16).digest()
-            if key in number:
-                ids[number[key]] = np.concatenate([ids[number[key]], some[at[k] : at[k + 1]]])
-            else:
-                number[key] = len(texts)
-                ids.append(some[at[k] : at[k + 1]])
-                texts.append(text)
+            key = hashlib.sha256(text).digest()
+            smallest[key] = min(i, smallest.get(key, i))
+            held[key] = text
     # the order must not depend on the order of the rows
-    order = sorted(range(len(texts)), key=lambda k: (int(ids[k].min()), len(texts[k]), texts[k].tobytes()))
-    ids, texts = [np.sort(ids[k]) for k in order], [texts[k] for k in order]
+    keys = sorted(held, key=lambda k: (smallest[k], k))
+    ids, texts = [smallest[k] for k in keys], [held[k] for k in keys]
     pieces, now, size = [], [], 0
     for k, text in enumerate(texts):
         for base in range(0, len(text) - least + 1, SEGMENT_BYTES):
@@ -164,31 +167,30 @@ def _pieces(table, least: int):
 
 
 def _blocks(blocks: int):
-    """(block, blob): the distinct texts of a task's rows with their ids, by a hash of the text."""
+    """(block, blob): the distinct texts of a task's rows, each with its smallest id, by a hash of the text."""
 
     def flush(held):
         by_block: dict[int, list[bytes]] = {}
         for text in held:
             by_block.setdefault(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") % blocks, []).append(text)
         for b, texts in by_block.items():
-            counts = np.array([len(held[t]) for t in texts], np.int64)
-            ids = np.array([i for t in texts for i in held[t]], np.int64)
+            ids = np.array([held[t] for t in texts], np.int64)
             offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
-            blob = _squeeze(ids, counts, offsets, np.frombuffer(b"".join(texts), np.uint8))
+            blob = _squeeze(ids, offsets, np.frombuffer(b"".join(texts), np.uint8))
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     def run(rows):
-        held, size = {}, 0
+        held: dict[bytes, int] = {}
+        size = 0
         for batch in rows:
             data, offsets = bytes_of(batch.column(1))
-            ids = np.asarray(batch.column(0).fill_null(NO_ID))
+            ids = np.asarray(batch.column(0).fill_null(NO_ID)).tolist()
             for lo, hi in cut_rows(offsets, 1 << 20):
                 for k in range(lo, hi):
                     text = data[offsets[k] : offsets[k + 1]].tobytes()
-                    mine = held.setdefault(text, [])
-                    if not mine:
-                        size += len(text)
-                    mine.append(int(ids[k]))
+                    if text not in held:
+                        size += len(text) + 100
+                    held[text] = min(ids[k], held.get(text, ids[k]))
                 if size >= TASK_BYTES:
                     yield from flush(held)
                     held, size = {}, 0
@@ -305,7 +307,7 @@ def _send(buckets, least, q):
             some = rep[bucket == b]
             if not len(some):
                 continue
-            owner = np.array([ids[t][0] for t in text[some].tolist()], np.int64)
+            owner = np.array([ids[t] for t in text[some].tolist()], np.int64)
             left, length, parts = [], [], []
             for p, n in zip(piece[some].tolist(), number[some].tolist(), strict=True):
                 a = found[p]
@@ -319,66 +321,121 @@ def _send(buckets, least, q):
     return run
 
 
-def judge(owner: np.ndarray, left: np.ndarray, length: np.ndarray, flat: np.ndarray, least: int, q: int) -> np.ndarray:
-    """For each anchor occurrence, a bit for each distance of a string's start before the anchor: it stands in a smaller id.
+class Groups:
+    """Maximal repeat groups among anchor occurrences: each has `left` bytes before the anchor and `right` from it on,
+    and the occurrences members[edges[g]:edges[g + 1]]."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, edges: np.ndarray, members: np.ndarray):
+        self.left, self.right, self.edges, self.members = left, right, edges, members
+
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row of bytes and the one before; 0 for the first."""
+    out = np.zeros(len(rows), np.int64)
+    for lo in range(1, len(rows), 1 << 14):
+        differ = rows[lo : lo + (1 << 14)] != rows[lo - 1 : min(len(rows), lo + (1 << 14)) - 1]
+        out[lo : lo + (1 << 14)] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return out
+
 
-    owner: ids. left, length: of the surroundings, up to the anchor and in all; flat: their bytes.
+def _window(flat: np.ndarray, start: np.ndarray, size: np.ndarray, wide: int, step: int) -> np.ndarray:
+    """Rows of `wide` bytes, of which the first `size` are those at start, start + step, ...; the others are 0."""
+    out = np.zeros((len(start), -(-wide // 8) * 8), np.uint8)
+    columns = np.arange(wide)
+    for lo in range(0, len(start), 1 << 14):
+        at = start[lo : lo + (1 << 14), None] + step * columns
+        inside = columns < size[lo : lo + (1 << 14), None]
+        out[lo : lo + (1 << 14), :wide] = np.where(inside, flat[np.clip(at, 0, max(len(flat) - 1, 0))], 0)
+    return out
+
+
+def repeat_intervals(left: np.ndarray, length: np.ndarray, flat: np.ndarray, least: int, q: int) -> Groups:
+    """The maximal repeat groups of `least` bytes or more among anchor occurrences.
+
+    left, length: of the surroundings, up to the anchor and in all; flat: their bytes.
     """
-    n = len(owner)
-    begin = np.cumsum(length) - length
-    anchor = begin + left
+    n = len(left)
+    anchor = np.cumsum(length) - length + left
     right = length - left
-    wide = -(-least // 8) * 8
-    context = np.zeros((n, wide), np.uint8)
-    columns = np.arange(least)
-    for lo in range(0, n, 1 << 14):
-        at = anchor[lo : lo + (1 << 14), None] + columns
-        inside = columns < right[lo : lo + (1 << 14), None]
-        context[lo : lo + (1 << 14), :least] = np.where(inside, flat[np.minimum(at, len(flat) - 1)], 0)
-    words = np.ascontiguousarray(context).view(">u8").astype(U64)
+    wide = least - q
+    after = _window(flat, anchor, right, least, 1)
+    words = after.view(">u8").astype(U64)
     suffixes = np.lexsort(tuple(words[:, k] for k in reversed(range(words.shape[1]))))  # the suffix array of the anchors
-    context, right_at = context[suffixes], right[suffixes]
-    lcp = np.zeros(n, np.int64)
-    for lo in range(1, n, 1 << 14):
-        hi = min(n, lo + (1 << 14))
-        differ = context[lo:hi] != context[lo - 1 : hi - 1]
-        lcp[lo:hi] = np.where(differ.any(1), differ.argmax(1), least)
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(right_at[1:], right_at[:-1]))
+    reach, left_at = right[suffixes], left[suffixes]
+    lcp = _common(after[suffixes][:, :least])
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(reach[1:], reach[:-1]))
+    before = _window(flat, anchor[suffixes] - 1, left_at, wide, -1)
+    words = before.view(">u8").astype(U64)
     tree = lcp_intervals(lcp, q)
-    owner_at, left_at, anchor_at = owner[suffixes], left[suffixes], anchor[suffixes]
-    verdict = np.zeros(n, U64)
-    before = np.zeros(n, U64)  # hash of what stands to the left
-    base = powers(2)[0][1]
-    for distance in range(least - q + 1):
-        if distance:
-            reach = left_at >= distance
-            before[reach] = before[reach] * base + flat[anchor_at[reach] - distance] + U64(1)
-        need = least - distance
-        nodes = tree[(tree[:, 2] >= need) & (tree[:, 3] < need)]
-        sizes = nodes[:, 1] - nodes[:, 0] + 1
-        members = flat_ranges(nodes[:, 0], sizes)
-        node = np.repeat(np.arange(len(nodes)), sizes)
-        fits = (left_at[members] >= distance) & (right_at[members] >= need)
-        members, node = members[fits], node[fits]
-        if not len(members):
+    lefts, rights, sizes, members = [], [], [], []
+    for depth in np.unique(tree[:, 2]).tolist() if len(tree) else []:
+        nodes = tree[tree[:, 2] == depth]
+        held = nodes[:, 1] - nodes[:, 0] + 1
+        at = flat_ranges(nodes[:, 0], held)
+        node = np.repeat(np.arange(len(nodes)), held)
+        some = left_at[at] >= least - depth  # others are too short to be in a group of this depth
+        at, node = at[some], node[some]
+        if len(at) < 2:
+            continue
+        order = np.lexsort((*(words[at, k] for k in reversed(range(words.shape[1]))), node))
+        at, node = at[order], node[order]
+        shared = _common(before[at][:, :wide])
+        shared[1:] = np.minimum(shared[1:], np.minimum(left_at[at[1:]], left_at[at[:-1]]))
+        shared[np.append(True, node[1:] != node[:-1])] = -1
+        # the left intervals; those of two strings that end alike need no byte to the left at all
+        found = lcp_intervals(shared, max(0, least - depth)) if (shared >= max(0, least - depth)).any() else np.zeros((0, 4), np.int64)
+        if not len(found):
             continue
-        extension = mix(mix(node.astype(U64) + U64(1)) ^ before[members])  # an interval's members by left extension
-        order = np.argsort(extension)
-        members, extension = members[order], extension[order]
-        new = np.ones(len(members), bool)
-        new[1:] = extension[1:] != extension[:-1]
-        smallest = np.minimum.reduceat(owner_at[members], np.flatnonzero(new))
-        goes = owner_at[members] > smallest[np.cumsum(new) - 1]
-        verdict[suffixes[members[goes]]] |= U64(1 << distance)
-    return verdict
-
-
-def _judge(least, q):
+        # within the interval, whose child a member lies in: a group must span two of them
+        child = np.cumsum(lcp <= depth)[at]
+        a, size = found[:, 0], found[:, 1] - found[:, 0] + 1
+        rows = flat_ranges(a, size)
+        starts = np.cumsum(size) - size
+        wider = np.minimum.reduceat(child[rows], starts) < np.maximum.reduceat(child[rows], starts)
+        kept = np.repeat(wider, size)
+        lefts.append(found[wider, 2])
+        rights.append(np.full(int(wider.sum()), depth))
+        sizes.append(size[wider])
+        members.append(suffixes[at[rows[kept]]])
+    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+    return Groups(join(lefts), join(rights), np.append(0, np.cumsum(join(sizes))), join(members))
+
+
+def judge(owner: np.ndarray, left: np.ndarray, length: np.ndarray, flat: np.ndarray, least: int, q: int) -> tuple[np.ndarray, Groups]:
+    """For each anchor occurrence, a bit for each distance of a string's start before the anchor: it stands in a smaller id.
+
+    It is in a maximal repeat group that holds a smaller id, whose strings begin at most `left` bytes before the anchor
+    and end at most `right` bytes behind it. owner: ids; for the others see repeat_intervals().
+    """
+    groups = repeat_intervals(left, length, flat, least, q)
+    verdict = np.zeros(len(owner), U64)
+    if len(groups.left):
+        size = np.diff(groups.edges)
+        first = np.minimum.reduceat(owner[groups.members], groups.edges[:-1])
+        low, high = np.maximum(0, least - groups.right), np.minimum(groups.left, least - q)
+        bits = (U64(2) << high.astype(U64)) - (U64(1) << low.astype(U64))
+        goes = owner[groups.members] > np.repeat(first, size)
+        np.bitwise_or.at(verdict, groups.members[goes], np.repeat(bits, size)[goes])
+    return verdict, groups
+
+
+def _judge(least, q, groups_too=False):
     def run(table):
         blobs = [_unsqueeze(x.as_py()) for x in table["blob"]]
-        verdict = judge(*(np.concatenate([b[k] for b in blobs]).astype(np.int64 if k < 3 else np.uint8) for k in range(4)), least, q)
+        owner, left, length, flat = (np.concatenate([b[k] for b in blobs]).astype(np.int64 if k < 3 else np.uint8) for k in range(4))
+        verdict, groups = judge(owner, left, length, flat, least, q)
         edges = np.append(0, np.cumsum([len(b[0]) for b in blobs]))
-        told = [_squeeze(verdict[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        told = [[verdict[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        if groups_too:  # each member's group, by name, and the group's bytes before and behind the anchor
+            size, members = np.diff(groups.edges), groups.members
+            first = members[groups.edges[:-1]]
+            begin = (np.cumsum(length) - length + left)[first] - groups.left
+            whole = groups.left + groups.right
+            names = np.array([int.from_bytes(hashlib.blake2b(flat[a : a + k], digest_size=8).digest(), "little") for a, k in zip(begin.tolist(), whole.tolist(), strict=True)], U64)
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                some = (a <= members) & (members < b)
+                told[k] += [members[some] - a, *(np.repeat(x, size)[some] for x in (names, groups.left, groups.right))]
+        told = [_squeeze(*x) for x in told]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "verdict": pa.array(told, pa.binary())})
 
     return run
@@ -392,11 +449,18 @@ def _cut(buckets, least, q, finish):
         hashes = np.array([found[p].hash[n] for p, n in zip(piece[rep].tolist(), number[rep].tolist(), strict=True)], U64)
         bucket = ((hashes >> U64(64 - SENT_BITS)) % U64(buckets)).astype(np.int64)
         verdict = np.zeros(len(rep), U64)
+        told = []
         for b, blob in zip(answers["bucket"].to_pylist(), answers["verdict"].to_pylist(), strict=True):
             if blob is not None:
-                verdict[bucket == b] = _unsqueeze(blob)[0]
+                mine = np.flatnonzero(bucket == b)
+                bits, *groups = _unsqueeze(blob)
+                verdict[mine] = bits
+                if groups:
+                    told.append((mine[groups[0]], *groups[1:]))
+        if finish.groups:
+            return finish(ids, pieces, found, piece, number, cls, text, told, key[0].as_py())
         mine = verdict[cls]
-        smallest = np.array([x[0] for x in ids], np.int64)
+        smallest = np.array(ids, np.int64)
         later = smallest[text] > smallest[text[rep[cls]]]  # the same surroundings stand in a smaller id of this block
         mine[later] = ~U64(0)
         starts = [np.zeros(len(t) + 1, bool) for t in whole]
@@ -425,62 +489,119 @@ def _covered(size: int, starts: np.ndarray, least: int) -> np.ndarray:
     return np.stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + least], 1)
 
 
-def _rows(ids, texts, starts, least):
-    """(id, text, runs) of each row of a block."""
-    for mine, text, begin in zip(ids, texts, starts, strict=True):
-        runs = _covered(len(text), begin, least)
-        for x in mine.tolist():
-            again = x > mine[0] and len(text) >= least  # an equal text has a smaller id
-            yield None if x == NO_ID else x, text, np.array([[0, len(text)]]) if again else runs
-
-
 def _keep(text, runs):
     keep = np.ones(len(text), bool)
     keep[flat_ranges(runs[:, 0], runs[:, 1] - runs[:, 0])] = False
     return text[keep].tobytes()
 
 
-def real_output(ids, texts, starts, least):
-    rows = list(_rows(ids, texts, starts, least))
-    spans = [[{"start": int(a), "end": int(b)} for a, b in r] for _, _, r in rows]
-    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array([_keep(t, r) for _, t, r in rows], pa.binary())})
+def _keys(texts):
+    return pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
 
 
-real_output.schema = "doc_id long, spans array<struct<start:long,end:long>>, kept binary"
+class real_output:
+    """Of each text: the removed spans and the bytes that are kept."""
 
+    groups = False
+    schema = "digest binary, least_id long, spans array<struct<start:long,end:long>>, kept binary"
 
-def digest_output(ids, texts, starts, least):
-    rows = list(_rows(ids, texts, starts, least))
-    number = lambda f: pa.array([int(f(t, r)) for _, t, r in rows], pa.int64())
-    return pa.table(
-        {
-            "doc_id": pa.array([r[0] for r in rows], pa.int64()),
-            "n_bytes": number(lambda t, r: len(t)),
-            "n_removed": number(lambda t, r: (r[:, 1] - r[:, 0]).sum()),
-            "n_spans": number(lambda t, r: len(r)),
-            "kept_sha256": pa.array([hashlib.sha256(_keep(t, r)).hexdigest() for _, t, r in rows], pa.string()),
-        }
-    )
+    def __call__(self, ids, texts, starts, least):
+        runs = [_covered(len(t), b, least) for t, b in zip(texts, starts, strict=True)]
+        spans = [[{"start": int(a), "end": int(b)} for a, b in r] for r in runs]
+        kept = [_keep(t, r) for t, r in zip(texts, runs, strict=True)]
+        return pa.table({"digest": _keys(texts), "least_id": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
+    def columns(self, again, size):
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))
+        return [F.when(again, whole).otherwise(F.col("spans")).alias("spans"), F.when(again, F.lit(b"")).otherwise(F.col("kept")).alias("kept")]
 
-digest_output.schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+class digest_output:
+    """Of each text: sizes, and a digest of the bytes that are kept."""
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, q: int = QGRAM, finish=real_output, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Cuts each byte that lies in a string of `least` bytes which also starts in a row of smaller id."""
-    if not 0 < least - q + 1 <= 64:
-        raise ValueError("a string's start must lie within 64 bytes before its anchor")
-    spark = docs.sparkSession
+    groups = False
+    schema = "digest binary, least_id long, n_removed long, n_spans long, kept_sha256 string"
+
+    def __call__(self, ids, texts, starts, least):
+        runs = [_covered(len(t), b, least) for t, b in zip(texts, starts, strict=True)]
+        return pa.table(
+            {
+                "digest": _keys(texts),
+                "least_id": pa.array(ids, pa.int64()),
+                "n_removed": pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64()),
+                "n_spans": pa.array([len(r) for r in runs], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(_keep(t, r)).hexdigest() for t, r in zip(texts, runs, strict=True)], pa.string()),
+            }
+        )
+
+    def columns(self, again, size):
+        none = hashlib.sha256(b"").hexdigest()
+        return [
+            size.alias("n_bytes"),
+            F.when(again, size).otherwise(F.col("n_removed")).alias("n_removed"),
+            F.when(again, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
+            F.when(again, F.lit(none)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        ]
+
+
+class _group_output:
+    """An occurrence of a maximal repeat group a row; equal texts once, under their smallest id."""
+
+    groups = True
+    schema = "repeat long, length long, doc_id long, start long"
+
+    def __call__(self, ids, pieces, found, piece, number, cls, text, told, block):
+        if not told:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("repeat", "length", "doc_id", "start")})
+        at, names, left, right = (np.concatenate([t[k] for t in told]) for k in range(4))
+        order = np.argsort(cls, kind="stable")  # the occurrences of each class
+        lo, hi = np.searchsorted(cls[order], at, "left"), np.searchsorted(cls[order], at, "right")
+        every = order[flat_ranges(lo, hi - lo)]
+        names, left, right = (np.repeat(x, hi - lo) for x in (names, left, right))
+        spot = np.empty(len(every), np.int64)
+        for k, (p, a) in enumerate(zip(pieces, found, strict=True)):
+            mine = np.flatnonzero(piece[every] == k)
+            n = number[every[mine]]
+            spot[mine] = a.place[n] - p[3][a.segment[n]] + p[1][a.segment[n]] - left[mine]
+        return pa.table({"repeat": pa.array(names.view(np.int64)), "length": pa.array(left + right), "doc_id": pa.array(np.array(ids, np.int64)[text[every]]), "start": pa.array(spot)})
+
+
+def _judged(rows: DataFrame, least: int, q: int, finish) -> DataFrame:
+    if not 0 < least - q + 1 <= 63:
+        raise ValueError("a string's start must lie within 62 bytes before its anchor")
+    spark = rows.sparkSession
     shared_dir(spark)
-    buckets = shuffle_width(spark)
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(buckets, size // BLOCK_BYTES)
+    buckets = max(shuffle_width(spark), size // BUCKET_BYTES)
+    blocks = max(shuffle_width(spark), size // BLOCK_BYTES)
     # read and compressed again for the second job: that costs less than to keep the blocks between the two
     held = rows.mapInArrow(_blocks(blocks), "block long, blob binary")
     asked = held.groupBy("block").applyInArrow(_ask(buckets, least, q), "bucket long, block long, blob binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, answer binary").repartition(buckets, "block").checkpoint()
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, answer binary").repartition(shuffle_width(spark), "block").checkpoint()
     sent = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(buckets, least, q), "bucket long, block long, blob binary")
-    told = sent.groupBy("bucket").applyInArrow(_judge(least, q), "block long, bucket long, verdict binary")
+    told = sent.groupBy("bucket").applyInArrow(_judge(least, q, finish.groups), "block long, bucket long, verdict binary")
     replies = answers.withColumn("verdict", F.lit(None).cast("binary")).unionByName(told.withColumn("answer", F.lit(None).cast("binary"))).select("block", "bucket", "answer", "verdict")
     return held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(buckets, least, q, finish), finish.schema)
+
+
+def repeat_groups(docs: DataFrame, least: int = LEAST, q: int = QGRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(repeat, length, doc_id, start): all occurrences of each maximal repeat group, a row each.
+
+    repeat names the group's string by a hash; of equal texts the one of smallest id stands for all, a null id is null.
+    """
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = _judged(rows, least, q, _group_output()).distinct()  # where segments overlap an occurrence is seen twice
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, q: int = QGRAM, finish=real_output, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Cuts each byte that lies in a string of `least` bytes which also starts in a row of smaller id."""
+    finish = finish()
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = Stage(_judged(rows, least, q, finish), "texts").df  # a row a distinct text
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    light = Stage(rows.select("doc_id", F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("size")), "rows").df
+    copies = light.groupBy("digest").agg(F.count("*").alias("copies"))
+    told = join_heavy(light, texts.join(copies, "digest"), "digest", "copies", light.count(), "inner")
+    again = (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("least_id")) & (F.col("size") >= least)  # an equal text has a smaller id
+    return told.select("doc_id", *finish.columns(again, F.col("size")))

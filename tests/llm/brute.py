@@ -63,6 +63,47 @@ def repeats(docs, least=50):
     return out
 
 
+def repeat_groups(docs, least, q):
+    """The maximal repeat groups over each anchor, as sets of (id, start, length), by trying every string around it."""
+    from lattica.llm import suffix
+
+    spots = defaultdict(set)  # of each anchor's bytes: (id, place, first byte around it, end)
+    for i, text in docs.items():
+        raw = (text or "").encode()
+        data = _array(raw)
+        a = suffix.Anchors(data, _offsets(raw), least, q)
+        for place, first, last in zip(a.place.tolist(), a.first.tolist(), a.last.tolist(), strict=True):
+            spots[raw[place : place + q]].add((i, place, first, last + least))
+    raws = {i: (t or "").encode() for i, t in docs.items()}
+    out = set()
+    for here in spots.values():
+        places = defaultdict(list)
+        for i, place, first, end in here:
+            for a in range(first, place + 1):
+                for b in range(max(place + q, a + least), end + 1):
+                    places[raws[i][a:b], place - a].append((i, place, first, end))
+        for (s, left), at in places.items():
+            if len(at) < 2:
+                continue
+            before = {raws[i][p - left - 1] if p - left > first else (i, p) for i, p, first, _ in at}
+            after = {raws[i][p - left + len(s)] if p - left + len(s) < end else (i, p) for i, p, _, end in at}
+            if len(before) > 1 and len(after) > 1:
+                out.add(frozenset((i, p - left, len(s)) for i, p, _, _ in at))
+    return out
+
+
+def _array(raw):
+    import numpy as np
+
+    return np.frombuffer(raw, np.uint8)
+
+
+def _offsets(raw):
+    import numpy as np
+
+    return np.array([0, len(raw)])
+
+
 def _luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):

@@ -154,6 +154,31 @@ def test_repeats(spark):
     assert suffix.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_with_null_and_repeated_ids(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 30), prose(rng, 30)
+    rows = [(1, a), (1, a), (None, a), (1, a + b), (2, b), (2, b), (3, "short"), (3, "short"), (None, None), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix.remove_repeats(df, finish=suffix.digest_output).collect())
+    x, y = len(a), len(b)
+    assert got == sorted([("1", x, 0, 0), ("1", x, 0, 0), ("None", x, x, 1), ("1", x + y, 0, 0), ("2", y, y, 1), ("2", y, y, 1), ("3", 5, 0, 0), ("3", 5, 0, 0), ("None", 0, 0, 0), ("None", y, y, 1)])
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 256])
+def test_repeat_groups(spark, monkeypatch, segment):
+    """Each group has all occurrences of its string over the anchor, and the groups cover every repeat."""
+    monkeypatch.setattr(suffix, "SEGMENT_BYTES", segment)
+    rng = random.Random(13)
+    passage = prose(rng, 40)
+    docs = {k: prose(rng, 10) + passage[7 * k :] + prose(rng, 5) + passage[: 60 + k] for k in range(9)} | {20: None, 21: passage, 22: passage}
+    found = {}
+    for r in suffix.repeat_groups(frame(spark, docs)).collect():
+        found.setdefault((r["repeat"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    want = brute.repeat_groups({k: t for k, t in docs.items() if k != 22}, 50, 18)
+    assert {frozenset((d, s, n) for d, s in places) for (_, n), places in found.items()} == want
+    assert suffix.repeat_groups(empty(spark)).count() == 0
+
+
 def test_repeats_over_segments(spark, monkeypatch):
     rng = random.Random(4)
     long = prose(rng, 300)
