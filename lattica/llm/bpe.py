@@ -1,15 +1,19 @@
 """Byte-level BPE by a global shuffle of distinct words, and its decoding by the token-byte table.
 
-A scan task cuts its rows into chunks of text and explodes each into pre-tokens with positions; the
-positions stay with the chunk, and what crosses the network is each word once a chunk. The words
-meet in buckets by hash, where each distinct word of the corpus is encoded once; the ids go back to
-the chunks that asked, and are put at the words' positions. A word that fills a third of the corpus
-is one entry a chunk. Chunks are named by task, number and a checksum of their ids; the two scans
-must cut alike, so a table that is not a plain file scan is first written to the shared folder, and
-a chunk that finds no answer fails the job rather than lose rows.
+A scan task cuts its rows into chunks of text and explodes each into pre-tokens with positions, once. Of a
+chunk two kinds of rows are written: its distinct words by bucket, and for each piece of the chunk the word
+at each position (as numbers in an array, not a row each: rows of words with positions would be several times
+the text). The words meet in buckets by hash, where each distinct word of the corpus is encoded once; the ids
+join their chunk again and are put at the words' positions. A word that fills a third of the corpus is one
+entry a chunk. Buckets grow in number with the text. Decoding joins ids with the token-byte table, which is the
+tokenizer's own vocabulary and so of one size; every task holds it.
+
+Both kinds come from one written pass, so chunks need not be cut alike twice; a chunk whose answers do not fit
+its words fails the job rather than lose rows.
 
 Nulls: a null text is empty and has no tokens; ids may be null or repeat, each row is encoded. An
 empty table gives an empty result. Texts of any length are whole: a long one is a chunk of its own.
+Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -17,19 +21,22 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattica.llm import pretok
-from lattica.llm.common import U64, Stage, bytes_of, cut_rows, flat_ranges, shuffle_width, span_hashes
+from lattica.llm.common import U64, bytes_of, cut_rows, flat_ranges, new_path, shuffle_width, span_hashes
 
 CHUNK_BYTES = 24 << 20
 PIECE_BYTES = 1 << 20
+#: A bucket gets the distinct words of about so many bytes of text.
+BUCKET_BYTES = 64 << 20
 
 
 @functools.cache
@@ -103,33 +110,6 @@ def word_starts(data: np.ndarray, offsets: np.ndarray, pattern: str) -> np.ndarr
     return at[starts]
 
 
-def _words(data, offsets, pattern):
-    """(starts, ends, hashes) of the words of a piece."""
-    starts = word_starts(data, offsets, pattern)
-    ends = np.append(starts[1:], len(data))
-    return starts, ends, span_hashes(data, starts, ends)
-
-
-def _chunks(batches):
-    """(name, pieces) of a task's rows; a piece is (ids, data, offsets) of about PIECE_BYTES."""
-    from pyspark import TaskContext
-
-    task, number, pieces, size, mark = TaskContext.get().partitionId(), 0, [], 0, 0
-    for batch in batches:
-        data, offsets = bytes_of(batch.column(1))
-        for lo, hi in cut_rows(offsets, PIECE_BYTES):
-            ids = batch.column(0).slice(lo, hi - lo)
-            part = data[offsets[lo] : offsets[hi]].copy()
-            pieces.append((ids, part, offsets[lo : hi + 1] - offsets[lo]))
-            mark = zlib.crc32(repr(ids.to_pylist()).encode(), mark)
-            size += len(part)
-            if size >= CHUNK_BYTES:
-                yield f"{task}:{number}:{mark}", pieces
-                pieces, size, mark, number = [], 0, 0, number + 1
-    if pieces:
-        yield f"{task}:{number}:{mark}", pieces
-
-
 def _squeeze(*arrays) -> bytes:
     """Arrays of one chunk as a compressed blob: count, then kind, length and bytes of each."""
     parts = [len(arrays).to_bytes(1, "little")]
@@ -149,53 +129,86 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bucket) that sorts distinct hashes by bucket, then hash."""
-    bucket = ((hashes >> U64(32)) % U64(buckets)).astype(np.int64)
-    order = np.lexsort((hashes, bucket))
-    return order, bucket
-
-
-def _ask(pattern: str, buckets: int):
-    """(bucket, chunk, words): the distinct words of each chunk."""
-
+class _Chunk:
+    """The distinct words of a chunk, numbered as they come, and the word at each position of its pieces."""
+
+    def __init__(self, pattern: str):
+        self.pattern = pattern
+        self.name = uuid.uuid4().hex  # both kinds of rows are written by one attempt, so any name that is not given twice will do
+        self.hashes, self.numbers = np.zeros(0, U64), np.zeros(0, np.int64)  # by hash
+        self.words: list[bytes] = []
+        self.of_word: list[np.ndarray] = []
+        self.pieces: list[bytes] = []
+        self.size = 0
+
+    def add(self, ids, data, offsets):
+        starts = word_starts(data, offsets, self.pattern)
+        ends = np.append(starts[1:], len(data))
+        some, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, some)
+        new = np.ones(len(some), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != some[inside]
+        if new.any():
+            raw, fresh = data.tobytes(), first[new]
+            numbers = len(self.words) + np.arange(len(fresh))
+            self.words += [raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+            self.of_word.append(some[new])
+            hashes = np.concatenate([self.hashes, some[new]])
+            order = np.argsort(hashes)
+            self.hashes, self.numbers = hashes[order], np.concatenate([self.numbers, numbers])[order]
+        word = self.numbers[np.searchsorted(self.hashes, some)][back].astype(np.uint32)
+        edges = np.searchsorted(starts, offsets).astype(np.int64)  # the first position of each row
+        self.pieces.append(_squeeze(np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()), edges, word))
+        self.size += len(data)
+
+    def rows(self, buckets: int):
+        """(kind, place, chunk, blob): kind 0 the words of bucket `place` with their numbers, kind 1 the piece `place`."""
+        hashes = np.concatenate(self.of_word) if self.of_word else np.zeros(0, U64)
+        bucket = ((hashes >> U64(32)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for b, some in zip(*_split(bucket[order], order), strict=True):
+            words = [self.words[k] for k in some.tolist()]
+            blob = _squeeze(some.astype(np.uint32), np.array([len(w) for w in words], np.uint32), np.frombuffer(b"".join(words), np.uint8))
+            yield self._row(0, b, blob)
+        for k, blob in enumerate(self.pieces):
+            yield self._row(1, k, blob)
+
+    def _row(self, kind, place, blob):
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([place], pa.int64()), pa.array([self.name]), pa.array([blob], pa.binary())], names=["kind", "place", "chunk", "blob"])
+
+
+def _split(keys: np.ndarray, rows: np.ndarray):
+    """(keys, rows of each) of sorted keys."""
+    some, first = np.unique(keys, return_index=True)
+    return some.tolist(), np.split(rows, first[1:]) if len(some) else []
+
+
+def _explode(pattern: str, buckets: int):
     def run(batches):
-        for name, pieces in _chunks(batches):
-            known, words = [], []
-            seen = np.zeros(0, U64)
-            for _, data, offsets in pieces:
-                starts, ends, hashes = _words(data, offsets, pattern)
-                some, first = np.unique(hashes, return_index=True)
-                at = np.searchsorted(seen, some)
-                new = (at == len(seen)) | (seen[np.minimum(at, max(len(seen) - 1, 0))] != some) if len(seen) else np.ones(len(some), bool)
-                some, first = some[new], first[new]
-                known.append(some)
-                raw = data.tobytes()
-                words += [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                seen = np.sort(np.concatenate([seen, some]))
-            hashes = np.concatenate(known)
-            order, bucket = _bucket_order(hashes, buckets)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                some = [words[k] for k in order[edges[b] : edges[b + 1]].tolist()]
-                if some:
-                    rows.append((b, name, _squeeze(np.array([len(w) for w in some], np.uint32), np.frombuffer(b"".join(some), np.uint8))))
-            if rows:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int64()), "chunk": [r[1] for r in rows], "words": pa.array([r[2] for r in rows], pa.binary())})
+        chunk = _Chunk(pattern)
+        for batch in batches:
+            data, offsets = bytes_of(batch.column(1))
+            for lo, hi in cut_rows(offsets, PIECE_BYTES):
+                chunk.add(batch.column(0).slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                if chunk.size >= CHUNK_BYTES:
+                    yield from chunk.rows(buckets)
+                    chunk = _Chunk(pattern)
+        if chunk.pieces:
+            yield from chunk.rows(buckets)
 
     return run
 
 
 def _encode(path: str, pattern: str):
-    """(chunk, bucket, ids) for a bucket's (chunk, words): each distinct word is encoded once."""
+    """(chunk, ids) for a bucket's (place, chunk, blob): each distinct word is encoded once; the ids of a chunk's words go back by their numbers."""
 
     def run(batches):
         piece = _encoder(path, pattern)._core_bpe.encode_single_piece
         done: dict[bytes, list[int]] = {}
         for batch in batches:
-            for bucket, chunk, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                lengths, flat = _unsqueeze(blob)
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                numbers, lengths, flat = _unsqueeze(blob)
                 raw, counts, ids, at = flat.tobytes(), [], [], 0
                 for n in lengths.tolist():
                     word = raw[at : at + n]
@@ -205,44 +218,30 @@ def _encode(path: str, pattern: str):
                         got = done[word] = piece(word)
                     counts.append(len(got))
                     ids += got
-                answer = _squeeze(np.array(counts, np.uint32), np.array(ids, np.uint32))
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "bucket": pa.array([bucket], pa.int64()), "ids": pa.array([answer], pa.binary())})
+                answer = _squeeze(numbers, np.array(counts, np.uint32), np.array(ids, np.uint32))
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "ids": pa.array([answer], pa.binary())})
 
     return run
 
 
-def _send(batches):
-    """(chunk, part, docs): the texts of each chunk, compressed."""
-    for name, pieces in _chunks(batches):
-        for k, (ids, data, offsets) in enumerate(pieces):
-            blob = _squeeze(np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()), offsets, data)
-            yield pa.RecordBatch.from_pydict({"chunk": [name], "part": pa.array([k], pa.int64()), "docs": pa.array([blob], pa.binary())})
-
-
-def _reassemble(pattern: str, buckets: int, finish):
-    def run(texts, answers):
-        order = np.argsort(np.asarray(texts["part"]))
-        blobs = texts["docs"]
-        pieces = [_unsqueeze(blobs[int(k)].as_py()) for k in order]
-        split = [_words(data, offsets, pattern) for _, _, offsets, data in pieces]
-        known = np.unique(np.concatenate([s[2] for s in split])) if split else np.zeros(0, U64)
-        by_bucket, _ = _bucket_order(known, buckets)
-        got = sorted(zip(answers["bucket"].to_pylist(), answers["ids"], strict=True), key=lambda x: x[0])
-        got = [_unsqueeze(x.as_py()) for _, x in got]
-        counts = np.concatenate([c for c, _ in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-        flat = np.concatenate([i for _, i in got]) if got else np.zeros(0, np.uint32)
-        if len(counts) != len(known):
-            raise RuntimeError(f"a chunk of {len(known)} words has {len(counts)} answers: its rows changed between scans")
-        place = np.empty(len(known), np.int64)
-        place[by_bucket] = np.arange(len(known))
-        first = np.cumsum(counts) - counts
+def _reassemble(finish):
+    def run(pieces, answers):
+        got = [_unsqueeze(x.as_py()) for x in answers["ids"]]
+        numbers = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint32)
+        counts = np.concatenate([g[1] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        flat = np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint32)
+        order = np.argsort(numbers)
+        first, counts = (np.cumsum(counts) - counts)[order], counts[order]
+        whole = (numbers[order] == np.arange(len(order))).all()  # every word has one answer
         out = []
-        for (ids, null, offsets, data), (starts, _, hashes) in zip(pieces, split, strict=True):
-            word = place[np.searchsorted(known, hashes)]
+        for blob in pieces["blob"]:
+            ids, null, edges, word = _unsqueeze(blob.as_py())
+            if not whole or len(word) and int(word.max()) >= len(order):
+                raise RuntimeError("a chunk's words have no answer each")
             tokens = flat[flat_ranges(first[word], counts[word])]
             upto = np.zeros(len(word) + 1, np.int64)
             np.cumsum(counts[word], out=upto[1:])
-            out.append(finish(pa.array(ids, mask=null), tokens, upto[np.searchsorted(starts, offsets)]))
+            out.append(finish(pa.array(ids, mask=null), tokens, upto[edges]))
         return pa.concat_tables([pa.Table.from_batches([b]) for b in out])
 
     return run
@@ -283,19 +282,20 @@ def digest_output(path: str):
     return finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, output=real_output, id: str = "doc_id", text: str = "text", plain_scan: bool = False) -> DataFrame:
-    """Encodes and decodes each row. plain_scan: docs is read from files as they lie, so that two scans cut it alike."""
-    from pyspark.sql import functions as F
-
+def encode_documents(docs: DataFrame, path: str, pattern: str, output=real_output, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encodes and decodes each row."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    if not plain_scan:
-        rows = Stage(rows, "texts").df
-    buckets = shuffle_width(docs.sparkSession)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_width(spark), size // BUCKET_BYTES)
     finish, schema = output(path)
-    asked = rows.mapInArrow(_ask(pattern, buckets), "bucket long, chunk string, words binary")
-    answers = asked.repartition(buckets, "bucket").mapInArrow(_encode(path, pattern), "chunk string, bucket long, ids binary")
-    sent = rows.mapInArrow(_send, "chunk string, part long, docs binary")
-    return sent.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_reassemble(pattern, buckets, finish), schema)
+    kept = new_path(spark, "words")
+    rows.mapInArrow(_explode(pattern, buckets), "kind int, place long, chunk string, blob binary").write.partitionBy("kind").option("compression", "none").parquet(kept)
+    made = spark.read.schema("place long, chunk string, blob binary, kind int").parquet(kept)
+    words = made.where("kind = 0").repartition(buckets, "place").select("chunk", "blob")
+    answers = words.mapInArrow(_encode(path, pattern), "chunk string, ids binary")
+    pieces = made.where("kind = 1").select("chunk", "blob")
+    return pieces.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_reassemble(finish), schema)
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:

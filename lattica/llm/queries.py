@@ -67,7 +67,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.bpe import digest_output, encode_documents
 
     docs = load(spark, sf_dir, "documents")
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest_output, plain_scan=True)
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digest_output)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
