@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lattica.functions.core import BOOL, GRID, NUM, STR, E, Fun, _boolean, _num, _txt, as_grid, column_grid, default, num, register, total, txt
+from lattica.functions.core import BOOL, GRID, NUM, STR, E, Fun, _boolean, _num, _txt, as_grid, column_grid, default, grid, lit, num, register, total, txt, written
 
 
 def _size(g: Column) -> tuple[Column, Column]:
@@ -23,7 +23,7 @@ def _index(n: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), lambda i: i < n)
 
 
-register("TRANSPOSE")(lambda g: E(transpose(as_grid(g).col), GRID, g.base))
+register("TRANSPOSE")(lambda g: grid([list(c) for c in zip(*written(g), strict=True)]) if written(g) else E(transpose(as_grid(g).col), GRID, g.base))
 
 
 @register("SEQUENCE", "n|nnn")
@@ -83,6 +83,10 @@ def _padded(row: Column, width: Column) -> Column:
 
 @register("VSTACK")
 def _vstack(*args: E):
+    given = [written(a) for a in args]
+    if all(g is not None for g in given):
+        width = max(len(r) for g in given for r in g)
+        return grid([r + [lit(None)] * (width - len(r)) for g in given for r in g])
     grids, kind = _common(args)
     width = F.greatest(*(_size(g)[1] for g in grids), F.lit(0))
     return E(F.concat(*(F.transform(g, lambda r: _padded(r, width)) for g in grids)), GRID, kind)
@@ -90,6 +94,10 @@ def _vstack(*args: E):
 
 @register("HSTACK")
 def _hstack(*args: E):
+    given = [written(a) for a in args]
+    if all(g is not None for g in given):
+        height = max(len(g) for g in given)
+        return grid([[x for g in given for x in (g[i] if i < len(g) else [lit(None)] * len(g[0]))] for i in range(height)])
     grids, kind = _common(args)
     height = F.greatest(*(_size(g)[0] for g in grids), F.lit(0))
     return E(F.transform(_index(height), lambda i: F.concat(*(_padded(F.get(g, i), _size(g)[1]) for g in grids))), GRID, kind)

@@ -23,6 +23,7 @@ class E:
     col: Column
     kind: str
     elem: str = NUM  # of a grid's cells
+    cells: list[list[E]] | None = None  # of a grid that is written out: its cells, each with a kind of its own
 
     @property
     def base(self) -> str:
@@ -51,7 +52,12 @@ def grid(rows: list[list[E]]) -> E:
     kinds = {x.kind for r in rows for x in r}
     elem = kinds.pop() if len(kinds) == 1 else STR if STR in kinds else NUM
     to = {NUM: num, STR: txt, BOOL: boolean}[elem]
-    return E(F.array(*(F.array(*(to(x) for x in r)) for r in rows)), GRID, elem)
+    return E(F.array(*(F.array(*(to(x) for x in r)) for r in rows)), GRID, elem, rows)
+
+
+def written(e: E) -> list[list[E]] | None:
+    """The cells of a value or of a grid that is written out, else None."""
+    return [[e]] if e.kind != GRID else e.cells
 
 
 def column_grid(array: Column, elem: str = NUM) -> E:
@@ -117,6 +123,10 @@ def numbers(args: list[E]) -> Column:
     """All numbers of the arguments, in order, as one array without nulls; text in a grid is skipped."""
     parts = []
     for a in args:
+        if a.kind == GRID and a.cells is not None:
+            if some := [num(x) for r in a.cells for x in r if x.kind != STR]:
+                parts.append(F.array(*some))
+            continue
         if a.base == STR and a.kind == GRID:
             continue
         parts.append(F.transform(flat(a), lambda x: _num(x, a.base)) if a.base != NUM else flat(a))

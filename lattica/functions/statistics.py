@@ -49,6 +49,7 @@ register("VAR.P VARP", "N")(_spread(False, False))
 
 def _with_text(args) -> Column:
     """Every cell that is not empty; text counts as 0."""
+    args = [x for a in args for x in (sum(a.cells, []) if a.kind == "g" and a.cells else [a])]
     cells = [F.transform(F.filter(flat(a), lambda x: x.isNotNull()), lambda x: F.lit(0.0) if a.base == "s" else _num(x, a.base)) for a in args]
     return F.concat(*cells)
 
