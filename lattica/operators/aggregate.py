@@ -135,19 +135,35 @@ def mode(df: DataFrame, column: str, by: list[str], order: Column, least: int =
     return best.select(*by, F.col(f"b.{column}").alias("mode"), F.col("b.n").alias("n"))
 
 
+def _ranked(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    from lattica.operators.lookup import placed_in_groups
+
+    return placed_in_groups(df.where(F.col(column).isNotNull()).select(*by, column), by, column)
+
+
 def upper_median(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """The value at place n / 2 of each group in order: the upper of the two in the middle."""
-    w = Window.partitionBy(*by).orderBy(column)
-    n = F.count(column).over(Window.partitionBy(*by))
-    ranked = df.where(F.col(column).isNotNull()).select(*by, column, F.row_number().over(w).alias("r"), n.alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(column).alias("upper_median"))
+    return _ranked(df, column, by).where(F.col("place") == F.floor(F.col("size") / 2) + 1).select(*by, F.col(column).alias("upper_median"))
 
 
 def trim_mean(df: DataFrame, column: str, by: list[str], share: float) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(column)
-    ranked = df.where(F.col(column).isNotNull()).select(*by, column, F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    cut = F.floor(F.col("n") * share / 2)
-    return ranked.where((F.col("r") > cut) & (F.col("r") <= F.col("n") - cut)).groupBy(*by).agg(F.avg(column).alias("trim_mean"))
+    cut = F.floor(F.col("size") * share / 2)
+    return _ranked(df, column, by).where((F.col("place") > cut) & (F.col("place") <= F.col("size") - cut)).groupBy(*by).agg(F.avg(column).alias("trim_mean"))
+
+
+def quantiles(df: DataFrame, column: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """PERCENTILE, QUARTILE and MEDIAN of each group: {new column: share}, linear between the two ranks beside.
+
+    The ranks are counted over range partitions, so no group's values gather in one buffer.
+    """
+    ranked = _ranked(df, column, by)
+    made = []
+    for name, share in wanted.items():
+        at = (F.col("size") - 1) * F.lit(float(share)) + 1
+        low = F.max(F.when(F.col("place") == F.floor(at), F.col(column)))
+        high = F.max(F.when(F.col("place") == F.ceil(at), F.col(column)))
+        made.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return ranked.groupBy(*by).agg(*made)
 
 
 def ave_dev(df: DataFrame, column: str, by: list[str]) -> DataFrame:

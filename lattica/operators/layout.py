@@ -42,13 +42,20 @@ def line_text(cells: DataFrame) -> DataFrame:
 
 
 def tables(cells: DataFrame) -> DataFrame:
-    """Runs of two lines or more with one count of at least two cells: (doc_id, page, table, first, last, columns, rows)."""
+    """Runs of lines with two cells or more, without the leading lines that do not have the last one's count.
+
+    (doc_id, page, table, first, last, columns, rows); a table has two lines at least.
+    """
     rows = line_text(cells)
     w = Window.partitionBy(*PAGE).orderBy("line")
-    fresh = F.coalesce(F.col("cells") != F.lag("cells").over(w), F.lit(True))
-    runs = rows.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = rows.withColumn("_run", F.sum((F.col("cells") < 2).cast("int")).over(upto)).where("cells >= 2")
+    in_run = Window.partitionBy(*PAGE, "_run").orderBy("line")
+    change = F.coalesce((F.col("cells") != F.lag("cells").over(in_run)).cast("int"), F.lit(0))
+    runs = runs.withColumn("_new", change).withColumn("_part", F.sum("_new").over(in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.withColumn("_last", F.max("_part").over(Window.partitionBy(*PAGE, "_run"))).where("_part = _last")
     grid = F.array_sort(F.collect_list(F.struct("line", "row")))
-    found = runs.where("cells >= 2").groupBy(*PAGE, "_run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.first("cells").alias("columns"), F.transform(grid, lambda r: r["row"]).alias("rows"))
+    found = runs.groupBy(*PAGE, "_run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.first("cells").alias("columns"), F.transform(grid, lambda r: r["row"]).alias("rows"))
     found = found.where(F.size("rows") >= 2)
     return found.withColumn("table", F.row_number().over(Window.partitionBy(*PAGE).orderBy("first"))).drop("_run")
 
@@ -97,47 +104,58 @@ def overlaps(items: DataFrame, bucket: float = 20.0, share: float = 0.7) -> Data
     return items.join(gone, [*PAGE, "item"], "left_anti")
 
 
-def xy_cut(rows: DataFrame, valley: float = 8.0, least: int = 4, deep: int = 8) -> DataFrame:
+def xy_cut(rows: DataFrame, width: float = 612.0, valley: float = 8.0, bucket: float = 2.0, least: int = 4, deep: int = 8) -> DataFrame:
     """Adds `region` to lines (doc_id, page, line, x, end_x, y, size): columns and bands in reading order.
 
-    A region of fewer than `least` lines or at depth `deep` stays whole; else it is cut at the widest
-    empty strip of at least `valley` points, across first if that is wider.
+    Cuts take turns, down between columns first. A cut down is at the widest run of buckets (the first of equals,
+    the left margin among them) in which fewer than a tenth of the median of the occupied ones lie, of at least
+    `valley` points; lines that end before it are the left column. A cut across is at every step down of more than
+    1.4 of the page's line height. A region that its turn's cut leaves whole, that has fewer than `least` lines, or
+    that lies deeper than `deep`, is not cut further.
     """
 
     def cut(pdf):
         import numpy as np
 
-        x0, x1 = pdf["x"].to_numpy(float), pdf["end_x"].to_numpy(float)
-        y1, y0 = pdf["y"].to_numpy(float), pdf["y"].to_numpy(float) - pdf["size"].to_numpy(float)
+        x0, x1, y, size = (pdf[c].to_numpy(float) for c in ("x", "end_x", "y", "size"))
+        count = max(1, int(np.ceil(width / bucket)))
+        height = max(float(np.sort(size)[len(size) // 2]) * 1.25, 8.0)
         region = np.zeros(len(pdf), int)
         number = 0
 
-        def widest(lo, hi):
-            order = np.argsort(lo, kind="stable")
-            reach = np.maximum.accumulate(hi[order])
-            gaps = lo[order][1:] - reach[:-1]
-            if not len(gaps) or gaps.max() < valley:
-                return 0.0, None
-            k = int(gaps.argmax())
-            return float(gaps[k]), (reach[k] + lo[order][k + 1]) / 2
-
-        def split(index, depth):
+        def columns(index):
+            first = np.clip((x0[index] / bucket).astype(int), 0, count - 1)
+            past = np.clip((x1[index] / bucket).astype(int) + 1, 0, count)
+            held = past > first
+            edges = np.bincount(first[held], minlength=count + 1) - np.bincount(past[held], minlength=count + 1)
+            density = np.cumsum(edges)[:count]
+            occupied = np.sort(density[density > 0])
+            if len(occupied) < 2:
+                return None
+            empty = density < max(occupied[len(occupied) // 2] * 0.1, 0.5)
+            turns = np.flatnonzero(np.diff(np.concatenate([[0], empty.astype(int), [0]])))
+            runs = [(b - a, -a) for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True) if b < count]  # the right margin has no end
+            if not runs or max(runs)[0] * bucket < valley:
+                return None
+            left = x1[index] <= -max(runs)[1] * bucket
+            return [index[left], index[~left]] if left.any() and not left.all() else None
+
+        def bands(index):
+            order = index[np.argsort(-y[index], kind="stable")]
+            steps = np.flatnonzero(-np.diff(y[order]) > height * 1.4) + 1
+            return np.split(order, steps) if len(steps) else None
+
+        def split(index, down, depth):
             nonlocal number
-            if len(index) >= least and depth < deep:
-                across, x = widest(x0[index], x1[index])
-                down, y = widest(y0[index], y1[index])
-                if x is not None and across >= down:
-                    left = x1[index] <= x
-                    split(index[left], depth + 1)
-                    return split(index[~left], depth + 1)
-                if y is not None:
-                    top = y0[index] >= y
-                    split(index[top], depth + 1)
-                    return split(index[~top], depth + 1)
-            region[index] = number
-            number += 1
-
-        split(np.arange(len(pdf)), 0)
+            parts = None if len(index) < least or depth > deep else (columns if down else bands)(index)
+            if parts:
+                for part in parts:
+                    split(part, not down, depth + 1)
+            else:
+                region[index] = number
+                number += 1
+
+        split(np.argsort(pdf["line"].to_numpy(), kind="stable"), True, 0)
         return pdf.assign(region=region)
 
     schema = T.StructType([*rows.schema.fields, T.StructField("region", T.LongType())])

@@ -54,21 +54,58 @@ def with_places(table: DataFrame, order: str, parts: int | None = None) -> DataF
     return numbered.join(F.broadcast(moved), "_part").withColumn("place", F.col("_nr") + F.col("_before")).drop("_part", "_nr", "_before")
 
 
+def placed_in_groups(table: DataFrame, by: list[str], order: str, parts: int | None = None) -> DataFrame:
+    """Adds `place`, 1, 2, ... by order within each group, and `size`, the group's rows. A group may span many tasks.
+
+    Rows are range-partitioned by group and order and numbered within their part; a row for each group and part
+    (as many as there are groups, and one more a part) says how many of the group stand in the parts before.
+    """
+    from lattica.plans.materialise import Table
+
+    parts = parts or int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = Table(table.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()), "places").df
+    keys = [F.col(b).alias(f"_g{k}") for k, b in enumerate(by)]
+    names = [f"_g{k}" for k in range(len(by))]
+    counted = ranged.groupBy(*keys, F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = counted.select(*names, "_p", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*names)).alias("size"))
+    numbered = ranged.withColumn("_nr", F.row_number().over(Window.partitionBy("_part", *by).orderBy(order)))
+    same = F.col("_part") == F.col("_p")
+    for b, n in zip(by, names, strict=True):
+        same = same & F.col(b).eqNullSafe(F.col(n))
+    joined = numbered.join(counted, same).withColumn("place", F.col("_nr") + F.col("_before"))
+    return joined.drop("_part", "_p", "_nr", "_before", *names)
+
+
 def asof(df: DataFrame, at: str, table: DataFrame, key: str, give: list[str], by: list[str] | None = None, order: str | None = None) -> DataFrame:
     """For each row the table's row with the greatest key <= at (in its group `by`); of equal keys the first by order.
 
-    One sort of both tables together: O(n log n), and no row meets more than its predecessor.
+    Both tables are range-partitioned together by group and key, and each part is scanned once; what a part's
+    first group had found by then is carried over from the parts before, of which there is one row each. So neither
+    a table without groups nor a group that holds most rows is one task's work.
     """
+    from lattica.plans.materialise import Table
+
     by = by or []
     order = order or key
-    left = df.select(*[F.col(b).alias(f"_b{k}") for k, b in enumerate(by)], F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_row"))
-    firsts = table.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.min_by(F.struct(*give), F.col(order)).alias("_got"))
-    right = firsts.select(*[F.col(b).alias(f"_b{k}") for k, b in enumerate(by)], F.col(key).alias("_at"), F.lit(0).alias("_side"), "_got")
-    both = left.unionByName(right, allowMissingColumns=True)
     groups = [f"_b{k}" for k in range(len(by))]
-    w = Window.partitionBy(*groups).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_hit", F.when(F.col("_at").isNotNull(), F.last("_got", ignorenulls=True).over(w)))
-    return found.where(F.col("_side") == 1).select("_row.*", *[F.col(f"_hit.{g}").alias(f"{g}_asof") for g in give])
+    left = df.select(*[F.col(b).alias(g) for b, g in zip(by, groups, strict=True)], F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_row"))
+    firsts = table.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.min_by(F.struct(*give), F.col(order)).alias("_got"))
+    right = firsts.select(*[F.col(b).alias(g) for b, g in zip(by, groups, strict=True)], F.col(key).alias("_at"), F.lit(0).alias("_side"), "_got")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = left.unionByName(right, allowMissingColumns=True).repartitionByRange(parts, *groups, "_at", "_side")
+    both = Table(both.withColumn("_part", F.spark_partition_id()), "asof").df
+    group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("_b"))
+    there = F.col("_got").isNotNull()
+    latest = F.max_by(F.when(there, F.struct(group.alias("group"), F.col("_got").alias("got"))), F.when(there, F.struct(group, F.col("_at"))))
+    ends = both.groupBy("_part").agg(F.min(group).alias("_first"), latest.alias("_latest"))  # a row for each part
+    before = F.last("_latest", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("_before", before).where(F.col("_before.group").eqNullSafe(F.col("_first"))).select("_part", "_first", F.col("_before.got").alias("_carried"))
+    w = Window.partitionBy("_part", *groups).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_hit", F.last("_got", ignorenulls=True).over(w)).where(F.col("_side") == 1).join(F.broadcast(carried), "_part", "left")
+    hit = F.coalesce(F.col("_hit"), F.when(group.eqNullSafe(F.col("_first")), F.col("_carried")))
+    found = found.withColumn("_hit", F.when(F.col("_at").isNotNull(), hit))
+    return found.select("_row.*", *[F.col(f"_hit.{g}").alias(f"{g}_asof") for g in give])
 
 
 def bin_of(df: DataFrame, value: str, bins: DataFrame, low: str, high: str, give: list[str]) -> DataFrame:
@@ -92,16 +129,22 @@ def missing_references(df: DataFrame, on: str, table: DataFrame, key: str, what:
 def inherit(chain: DataFrame, id: str, parent: str, fields: list[str], depth: int = 20) -> DataFrame:
     """Each node's fields, the nearest that is not null up its chain of parents, at most `depth` steps.
 
-    Pointers double each round (1, 2, 4, ... steps), so twenty levels take five joins.
+    Tables of 1, 2, 4, ... nodes are made by joining each with itself, and those in the binary form of
+    depth + 1 are joined, so twenty steps take six joins and not one more is taken.
     """
-    now = chain.select(F.col(id).alias("_id"), F.col(parent).alias("_up"), *fields)
-    reach = 1
-    while reach < depth:
-        up = now.select(F.col("_id").alias("_p"), F.col("_up").alias("_upper"), *[F.col(f).alias(f"_{f}") for f in fields])
-        joined = now.join(up, F.col("_up") == F.col("_p"), "left")
-        now = joined.select("_id", F.col("_upper").alias("_up"), *[F.coalesce(F.col(f), F.col(f"_{f}")).alias(f) for f in fields])
-        reach *= 2
-    return now.select(F.col("_id").alias(id), *fields)
+    def onto(low: DataFrame, high: DataFrame) -> DataFrame:
+        up = high.select(F.col("_id").alias("_p"), F.col("_up").alias("_upper"), *[F.col(f).alias(f"_{f}") for f in fields])
+        joined = low.join(up, F.col("_up") == F.col("_p"), "left")
+        return joined.select("_id", F.col("_upper").alias("_up"), *[F.coalesce(F.col(f), F.col(f"_{f}")).alias(f) for f in fields])
+
+    power, made, left = chain.select(F.col(id).alias("_id"), F.col(parent).alias("_up"), *fields), None, depth + 1
+    while left:
+        if left & 1:
+            made = power if made is None else onto(made, power)
+        left >>= 1
+        if left:
+            power = onto(power, power)
+    return made.select(F.col("_id").alias(id), *fields)
 
 
 def placeholder_inherit(slide: DataFrame, layout: DataFrame, master: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -28,15 +28,26 @@ def text_rule(c: Column, rule: str, text: str) -> Column:
     return ~F.coalesce(hit, F.lit(False)) if rule.startswith("not") else F.coalesce(hit, F.lit(False))
 
 
+#: A sort of so many rows is one task's work at any size of the table.
+SHORT = 10_000
+
+
 def top_rule(df: DataFrame, column: str, order: str, n: int, percent: bool = False, bottom: bool = False) -> DataFrame:
     """Adds `hit`: among the n (or n percent) largest or smallest; equal values share their rank.
 
-    The edge is one exact order statistic, found by a bounded sort, so no window spans the table.
+    The edge is one exact order statistic: by a bounded sort for a fixed n of at most SHORT, and else by places
+    that are counted over range partitions, so no task sorts the table.
     """
-    values = df.where(F.col(column).isNotNull())
-    if percent:
-        n = max(1, values.count() * n // 100)
-    edge = values.select(column).orderBy(F.asc(column) if bottom else F.desc(column)).limit(n).agg((F.max if bottom else F.min)(column).alias("_edge"))
+    from lattica.operators.lookup import with_places
+
+    values = df.where(F.col(column).isNotNull()).select(column)
+    if percent or n > SHORT:
+        total = values.count()
+        n = max(1, total * n // 100) if percent else n
+        place = n if bottom else total - n + 1
+        edge = with_places(values, column).where(F.col("place") == min(max(1, place), max(1, total))).agg(F.max(column).alias("_edge"))
+    else:
+        edge = values.orderBy(F.asc(column) if bottom else F.desc(column)).limit(n).agg((F.max if bottom else F.min)(column).alias("_edge"))
     hit = F.col(column) <= F.col("_edge") if bottom else F.col(column) >= F.col("_edge")
     return df.crossJoin(F.broadcast(edge)).withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_edge")  # one row
 

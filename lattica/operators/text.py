@@ -104,8 +104,8 @@ def needs_ocr(reasons: Column) -> Column:
     return F.arrays_overlap(reasons, F.array(F.lit("no_text"), F.lit("scanned"), F.lit("garbled")))
 
 
-#: Han, kana, hangul and CJK punctuation.
-CJK = r"\x{2E80}-\x{2FDF}\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
+#: Radicals, Han, kana and their punctuation, compatibility forms and full-width forms; fixed values.
+CJK = r"\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{2FA1F}"
 #: Punctuation that may not begin or end a line, fixed values.
 NOT_FIRST = "，。、；：！？）》」』】〉”’"
 NOT_LAST = "（《「『【〈“‘"
@@ -115,22 +115,52 @@ def has_cjk(text: Column) -> Column:
     return text.rlike(f"[{CJK}]")
 
 
+#: Radicals of the supplement block and the characters that they stand for, fixed values: code point, character.
+RADICALS = """
+2E81厂 2E85亻 2E88刂 2E8A卜 2E8C小 2E8D小 2E92巳 2E93糸 2E96忄 2E98手 2E9C日 2E9D月
+2EA0民 2EA1氵 2EA3火 2EA7牛 2EA8犭 2EA9王 2EAB目 2EAE竹 2EAF糸 2EB0纟 2EB1罒 2EB6羊
+2EB9老 2EBC肉 2EBE艹 2EBF艹 2EC0艹 2EC1虎 2EC2衤 2EC3西 2EC4西 2EC5见 2EC6角 2EC7角
+2EC8讠 2EC9贝 2ECA足 2ECB车 2ECC辶 2ECD辶 2ECF阝 2ED0钅 2ED1長 2ED3长 2ED4门 2ED5阝
+2ED6阝 2ED7雨 2ED8青 2ED9韦 2EDA页 2EDB风 2EDC飞 2EDD食 2EE0饣 2EE1页 2EE2马 2EE4鬼
+2EE5鱼 2EE6鸟 2EE7卤 2EE8麦 2EE9黄 2EEA黾 2EEB斉 2EEC齐 2EED歯 2EEE齿 2EEF竜 2EF0龙
+2EF1龟 2EF2亀
+"""
+
+
 def kangxi_fixed(text: Column) -> Column:
-    """Kangxi radicals as the unified characters that they are compatible with, by Unicode's own folding (NFKC).
+    """Radicals as the unified characters that they stand for: the supplement by RADICALS, the Kangxi block by NFKC.
 
-    Applied only to the radicals' block; each is one character in and one out.
+    Applied only to those blocks; each is one character in and one out.
     """
     import unicodedata
 
-    radicals = "".join(chr(c) for c in range(0x2F00, 0x2FD6))
-    return F.translate(text, radicals, "".join(unicodedata.normalize("NFKC", c) for c in radicals))
+    table = {chr(int(x[:4], 16)): x[4:] for x in RADICALS.split()}
+    table |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2F00, 0x2FD6)}
+    return F.translate(text, "".join(table), "".join(table.values()))
+
+
+#: Widths of Latin characters in ems, fixed values; the first class that holds a character counts.
+WIDTHS = [
+    (r"ijl!'|.,:;\x20", 0.28),
+    (r"ftr()\[\]\-/", 0.36),
+    (r"mMWw@%", 0.85),
+    (r"QOGDUHNBRKX", 0.72),
+    (r"A-Z", 0.68),
+    (r"0-9", 0.556),
+    (r"a-z", 0.52),
+]
+WIDTH_OF_OTHERS = 0.55
 
 
 def width_em(text: Column) -> Column:
-    """An estimate of a text's width in ems: CJK 1, narrow letters 0.3, capitals 0.65, others 0.5, spaces 0.25."""
-    n = lambda c: F.regexp_count(text, F.lit(c))
-    wide, narrow, capital, space = n(f"[{CJK}]"), n("[iljtfr.,;:'|!]"), n("[A-Z]"), n(r"\s")
-    return wide + narrow * 0.3 + capital * 0.65 + space * 0.25 + (F.length(text) - wide - narrow - capital - space) * 0.5
+    """An estimate of a text's width in ems: CJK 1, Latin by WIDTHS, others WIDTH_OF_OTHERS."""
+    taken, rest = CJK, F.length(text)
+    made = F.regexp_count(text, F.lit(f"[{CJK}]"))
+    rest = rest - made
+    for chars, width in WIDTHS:
+        n = F.regexp_count(text, F.lit(f"[{chars}&&[^{taken}]]"))
+        made, rest, taken = made + n * width, rest - n, taken + chars
+    return made + rest * WIDTH_OF_OTHERS
 
 
 def line_findings(lines: DataFrame, page: str, text: str) -> DataFrame:
@@ -200,34 +230,45 @@ def toc_findings(entries: DataFrame, by: str, order: str, page: str) -> DataFram
     return step.groupBy(by).agg(F.count("*").alias("entries"), (F.min(page) == F.max(page)).alias("all_same"), F.coalesce(F.bool_or("_back"), F.lit(False)).alias("non_monotonic"))
 
 
-def did_you_mean(df: DataFrame, word: str, candidates: DataFrame, name: str, order: str, most: int = 10_000) -> DataFrame:
+def did_you_mean(df: DataFrame, word: str, candidates: DataFrame, name: str, order: str) -> DataFrame:
     """Adds `suggestion`: the nearest candidate by edit distance without case, within max(2, a third of the word).
 
-    Candidates are a vocabulary: they are broadcast if they count at most `most`; beyond that, only
-    candidates that share one of the pieces into which the allowed distance splits the word are
-    compared (pigeonhole), so no cross join is made.
+    Only candidates that share a piece with the word are compared: the allowed distance splits it into one piece
+    more, of which an edit each leaves one whole (pigeonhole). Words too short to be split meet the candidates with
+    which they share what is left after two letters are taken out. So no cross join is made at any size.
     """
     a, b = F.lower(F.col(word)), F.lower(F.col("_c"))
     limit = F.greatest(F.floor(F.length(word) / 3), F.lit(2)).cast("int")
-    vocabulary = candidates.groupBy(F.col(name).alias("_c")).agg(F.min(order).alias("_o"))
+    vocabulary = candidates.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_c")).agg(F.min(order).alias("_o"))
     words = df.select(word).where(F.col(word).isNotNull()).distinct()
-    if vocabulary.count() <= most:
-        pairs = words.crossJoin(F.broadcast(vocabulary))  # at most `most` rows
-    else:
-        pairs = _by_pieces(words, word, limit, vocabulary)
+    pairs = _by_pieces(words.where(F.length(word) > 2), word, limit, vocabulary).unionByName(_by_deletions(words.where(F.length(word) <= 2), word, vocabulary))
     near = pairs.withColumn("_d", F.levenshtein(a, b)).where(F.col("_d") <= limit)
     best = near.groupBy(word).agg(F.min_by("_c", F.struct("_d", "_o")).alias("suggestion"))
     return df.join(best.withColumnRenamed(word, "_w"), F.col(word) == F.col("_w"), "left").drop("_w")
 
 
+def _left_after(text: Column) -> Column:
+    """What is left of a short text after none, one or two of its characters are taken out."""
+    without = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda k: F.concat(F.call_function("left", t, k - 1), F.call_function("substring", t, k + 1, F.length(t))))
+    once = without(text)
+    return F.array_distinct(F.concat(F.array(text), once, F.flatten(F.transform(once, without))))
+
+
+def _by_deletions(words: DataFrame, word: str, vocabulary: DataFrame) -> DataFrame:
+    """Pairs that may be within a distance of 2, for words of at most two characters."""
+    mine = words.select(word, F.explode(_left_after(F.lower(F.col(word)))).alias("_p"))
+    theirs = vocabulary.where(F.length("_c") <= 4).select("_c", "_o", F.explode(_left_after(F.lower(F.col("_c")))).alias("_p"))
+    return mine.join(theirs, "_p").select(word, "_c", "_o").distinct()
+
+
 def _by_pieces(words: DataFrame, word: str, limit: Column, vocabulary: DataFrame) -> DataFrame:
     """Pairs that may be within the limit: limit + 1 pieces of the word, one of which stands in the candidate, moved by at most the limit."""
     low, n = F.lower(F.col(word)), F.length(word)
     size = F.greatest(F.floor(n / (limit + 1)), F.lit(1)).cast("int")
     pieces = words.select(word, limit.alias("_l"), size.alias("_s"), F.posexplode(F.transform(F.sequence(F.lit(0), limit), lambda k: F.call_function("substring", low, k * size + 1, size))).alias("_k", "_p"))
-    every = vocabulary.select("_c", "_o", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_c"), F.lit(1)))).alias("_at"))
-    sizes = pieces.select("_s").distinct()  # as many as there are word lengths
-    grams = every.crossJoin(F.broadcast(sizes)).select("_c", "_o", "_at", "_s", F.call_function("substring", F.lower("_c"), F.col("_at"), F.col("_s")).alias("_p"))
+    sizes = F.array(F.lit(1), F.lit(2))  # a third of the word as the limit makes pieces of one or two characters
+    spots = vocabulary.select("_c", "_o", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_c"), F.lit(1)))).alias("_at")).select("*", F.explode(sizes).alias("_s"))
+    grams = spots.select("_c", "_o", "_at", "_s", F.call_function("substring", F.lower("_c"), F.col("_at"), F.col("_s")).alias("_p"))
     met = pieces.join(grams, ["_p", "_s"]).where(F.abs(F.col("_at") - 1 - F.col("_k") * F.col("_s")) <= F.col("_l"))
     return met.select(word, "_c", "_o").distinct()
 

@@ -7,13 +7,30 @@ from pyspark.sql import functions as F
 
 
 def ranks(df: DataFrame, column: str, by: list[str], descending: bool = True) -> DataFrame:
-    """Adds rank_eq, rank_avg and percent_rank of a column within its group."""
-    order = F.desc(column) if descending else F.asc(column)
-    w = Window.partitionBy(*by).orderBy(order)
-    ties = F.count("*").over(Window.partitionBy(*by, column))
-    up = Window.partitionBy(*by).orderBy(F.asc(column))
-    eq = F.rank().over(w)
-    return df.select("*", eq.alias("rank_eq"), (eq + (ties - 1) / 2).alias("rank_avg"), F.percent_rank().over(up).alias("percent_rank"))
+    """Adds rank_eq, rank_avg and percent_rank of a column within its group; a null ranks last when descending, else first.
+
+    Places are counted over range partitions; ties are an aggregate by value that joins back.
+    """
+    from lattica.operators.lookup import placed_in_groups
+
+    keys = [F.col(b).alias(f"_k{i}") for i, b in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    values = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_ties"))
+    placed = placed_in_groups(df.select(*keys, F.col(column).alias("_v")), names, "_v")
+    first = placed.groupBy(*names, "_v").agg(F.min("place").alias("_below"), F.max("size").alias("_size"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    first = first.select(*[F.col(n).alias(f"{n}f") for n in names], F.col("_v").alias("_vf"), "_below", "_size")
+    on = same("_v", "_vf")
+    for n in names:
+        on = on & same(n, f"{n}f")
+    known = values.join(first, on).select(*names, "_v", "_ties", "_below", "_size")
+    on = same(column, "_v")
+    for b, n in zip(by, names, strict=True):
+        on = on & same(b, n)
+    joined = df.join(known, on)
+    eq = (F.col("_size") - F.col("_below") - F.col("_ties") + 2 if descending else F.col("_below")).cast("int")
+    up = F.when(F.col("_size") > 1, (F.col("_below") - 1) / (F.col("_size") - 1)).otherwise(0.0)
+    return joined.select(*df.columns, eq.alias("rank_eq"), (eq + (F.col("_ties") - 1) / 2).alias("rank_avg"), up.alias("percent_rank"))
 
 
 def kth(df: DataFrame, column: str, by: list[str], k: int, largest: bool = True) -> DataFrame:

@@ -61,9 +61,30 @@ def test_recognisers(spark):
 def test_suggestions(spark):
     words = spark.createDataFrame([("fontsize",), ("bol",), ("unrelated word",), (None,)], "w string")
     names = spark.createDataFrame([("font_size", 1), ("bold", 2), ("italic", 3)], "n string, o int")
-    for most in (10, 0):  # a broadcast vocabulary, and the way by pieces
-        got = {r["w"]: r["suggestion"] for r in text.did_you_mean(words, "w", names, "n", "o", most).collect()}
-        assert got == {"fontsize": "font_size", "bol": "bold", "unrelated word": None, None: None}
+    got = {r["w"]: r["suggestion"] for r in text.did_you_mean(words, "w", names, "n", "o").collect()}
+    assert got == {"fontsize": "font_size", "bol": "bold", "unrelated word": None, None: None}
+
+
+def test_suggestions_are_the_nearest_of_all(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    make = lambda: "".join(rng.choice("abcX") for _ in range(rng.randrange(1, 13)))
+    names, words = sorted({make() for _ in range(150)} | {"xy", "wxyz"}), sorted({make() for _ in range(100)} | {"ab", "", "q"})
+    want = {}
+    for w in words:
+        near = [(distance(w.lower(), c.lower()), k, c) for k, c in enumerate(names) if distance(w.lower(), c.lower()) <= max(len(w) // 3, 2)]
+        want[w] = min(near)[2] if near else None
+    df, vocabulary = spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([(c, k) for k, c in enumerate(names)], "n string, o int")
+    assert {r["w"]: r["suggestion"] for r in text.did_you_mean(df, "w", vocabulary, "n", "o").collect()} == want
 
 
 def test_toc_and_findings(spark):
@@ -134,10 +155,31 @@ def test_layout(spark):
 
 
 def test_two_columns(spark):
-    lines = [(1, 1, k + 12 * side, 72.0 + 268 * side, 300.0 + 240 * side, 700.0 - 14 * k, 10.0) for side in (0, 1) for k in range(12)]
-    df = spark.createDataFrame(lines, "doc_id int, page int, line int, x double, end_x double, y double, size double")
-    got = {r["line"]: r["region"] for r in layout.xy_cut(df).collect()}
+    kind = "doc_id int, page int, line int, x double, end_x double, y double, size double"
+
+    def regions(lines):
+        return {r["line"]: r["region"] for r in layout.xy_cut(spark.createDataFrame(lines, kind)).collect()}
+
+    two = lambda end: [(1, 1, k + 12 * side, 72.0 + 268 * side, end + 268 * side, 700.0 - 14 * k, 12.0) for side in (0, 1) for k in range(12)]
+    got = regions(two(180.0))
     assert {got[k] for k in range(12)} == {0} and {got[k] for k in range(12, 24)} == {1}
+    assert set(regions(two(300.0)).values()) == {0}  # the left margin is the widest empty strip, and nothing lies before it
+    spread = [(1, 1, k, 10.0 + 300 * (k % 2), 200.0 + 300 * (k % 2), 700.0 - 14 * (k // 2) - (100 if k >= 8 else 0), 12.0) for k in range(16)]
+    got = regions(spread)
+    assert [got[k] for k in range(16)] == [0, 2] * 4 + [1, 3] * 4
+
+
+def test_table_runs_lose_their_leading_rows(spark):
+    counts = [1, 3, 2, 2, 2, 1, 2, 3, 1, 2, 2]
+    cells = [(1, 1, n, k, 10.0 * k, 10.0 * k + 5, 700.0 - 14 * n, 10.0, f"{n}.{k}") for n, c in enumerate(counts) for k in range(c)]
+    df = spark.createDataFrame(cells, "doc_id int, page int, line int, cell int, x double, end_x double, y double, size double, text string")
+    assert sorted((r["first"], r["last"], r["columns"], r["table"]) for r in layout.tables(df).collect()) == [(2, 4, 2, 1), (9, 10, 2, 2)]
+
+
+def test_widths_and_radicals(spark):
+    got = one(spark, text.width_em(F.lit("il f mM QZ 7 a é 中")), text.kangxi_fixed(F.lit("⼀x⾕⺁⻲")))
+    assert got[0] == pytest.approx(2 * 0.28 + 0.36 + 2 * 0.85 + 0.72 + 0.68 + 0.556 + 0.52 + 0.55 + 1 + 7 * 0.28)
+    assert got[1] == "一x谷厂亀"
 
 
 def test_markdown(spark):
@@ -184,7 +226,7 @@ def test_workbook(spark):
     assert (got["S", 1, 3], got["S", 2, 3], got["Other", 1, 1]) == (30, 31, 60)
     assert (got["S", 1, 4], got["S", 2, 4], got["S", 3, 4]) == (1, 2, "in the way")
     assert got["S", 1, 5] == "big1" and ("S", 1, 7) not in got
-    assert {(r["row"], r["col"]) for r in waiting.collect()} == {(1, 6), (2, 6)}
+    assert {(r["row"], r["col"]) for r in waiting.collect()} == {(1, 6), (2, 6), (1, 7)}  # a cycle, and a name that is not known
     assert template('IF(A1>"B2",SUM(Other!A1:B2))', "S") == ('IF(ref_0>"B2",SUM(ref_1))', [("s", 1, 1, 1, 1), ("other", 1, 1, 2, 2)])
 
 
@@ -194,6 +236,76 @@ def test_chain_in_reverse_order(spark):
     assert {r["row"]: r["num"] for r in values.collect()} == {1: 3.0, 2: 2.0, 3: 1.0} and waiting.count() == 0
 
 
+def test_running_balance_of_any_length(spark):
+    """A thousand rows that each add to the one above are one round, whatever else the row needs."""
+    n = 1000
+    rows_ = [("S", 1, 3, "number", 100.0, None, None, None)]
+    for r in range(2, n + 2):
+        rows_ += [("S", r, 1, "number", float(r), None, None, None), ("S", r, 2, "empty", None, None, None, f"A{r}*0.5"), ("S", r, 3, "empty", None, None, None, f"C{r - 1}+A{r}-B{r}")]
+    rows_ += [("S", 1, 5, "empty", None, None, None, f"SUM(C2:C{n + 1})"), ("S", 5, 6, "number", 1.0, None, None, None)] + [("S", r, 6, "empty", None, None, None, f"F{r - 1}*2") for r in range(6, 12)]
+    values, waiting = evaluate(spark.createDataFrame(rows_, CELLS))
+    got = {(r["row"], r["col"]): r["num"] for r in values.collect()}
+    balance, total = 100.0, 0.0
+    for r in range(2, n + 2):
+        balance += r - r * 0.5
+        total += balance
+        assert got[r, 3] == balance
+    assert got[1, 5] == pytest.approx(total) and got[11, 6] == 64 and waiting.count() == 0
+
+
+def test_chains_stop_at_what_is_no_number(spark):
+    cells = [("S", 1, 1, "number", 1.0, None, None, None), ("S", 3, 2, "string", None, "x", None, None), ("S", 1, 2, "number", 1.0, None, None, None), ("S", 2, 2, "number", 5.0, None, None, None), ("S", 4, 2, "number", 5.0, None, None, None)]
+    cells += [("S", r, 1, "empty", None, None, None, f"A{r - 1}+B{r}") for r in range(2, 5)] + [("S", 2, 4, "empty", None, None, None, "D3+1"), ("S", 3, 4, "empty", None, None, None, "D2+1")]
+    values, waiting = evaluate(spark.createDataFrame(cells, CELLS))
+    got = {(r["row"], r["col"]): r["num"] for r in values.collect()}
+    assert got[2, 1] == 6 and (3, 1) not in got and (4, 1) not in got
+    assert {(r["row"], r["col"]) for r in waiting.collect()} == {(2, 4), (3, 4)}
+
+
+def test_lookups_span_partitions(spark):
+    """As-of and places in groups of which one holds most rows, against plain versions; small parts, nulls and ties."""
+    import random
+
+    rng = random.Random(2)
+    quotes = [(rng.choice([None, "a", "a", "a", "b", "c"]), rng.randrange(60), k) for k in range(120)]
+    trades = [(rng.choice([None, "a", "a", "a", "b", "d"]), rng.choice([None, *range(70)]), k) for k in range(200)]
+    q, t = spark.createDataFrame(quotes, "g string, k int, v int"), spark.createDataFrame(trades, "g string, t int, id int")
+
+    def best(g, at, grouped):
+        known = [(k, -v) for h, k, v in quotes if at is not None and k <= at and (not grouped or h == g)]
+        return -max(known)[1] if known else None
+
+    for by in (["g"], None):
+        got = {r["id"]: r["v_asof"] for r in lookup.asof(t, "t", q, "k", ["v"], by, "v").collect()}
+        assert got == {i: best(g, at, bool(by)) for g, at, i in trades}
+    placed = lookup.placed_in_groups(q, ["g"], "k").collect()
+    for g in {x[0] for x in quotes}:
+        mine = sorted((r["place"], r["k"]) for r in placed if r["g"] == g)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [k for _, k in mine] == sorted(k for h, k, _ in quotes if h == g)
+        assert {r["size"] for r in placed if r["g"] == g} == {len(mine)}
+
+
+@pytest.mark.parametrize("short", [10_000, 3])
+def test_long_reports_by_places(spark, monkeypatch, short):
+    monkeypatch.setattr(rows, "SHORT", short)
+    monkeypatch.setattr(specs, "SHORT", short)
+    df = spark.createDataFrame([(k, float(k * 7 % 23)) for k in range(50)], "k int, v double")
+    assert sorted(r["k"] for r in rows.take(df, "k", 9).collect()) == list(range(9))
+    assert sorted(r["k"] for r in rows.take(df, "k", -9).collect()) == list(range(41, 50))
+    assert sorted(r["k"] for r in rows.drop(df, "k", 45).collect()) == list(range(45, 50)) and rows.drop(df, "k", 99).count() == 0
+    values = sorted((k * 7 % 23 for k in range(50)), reverse=True)
+    for n, percent, bottom in [(10, False, False), (20, True, False), (10, False, True), (20, True, True), (99, False, False)]:
+        edge = (values[::-1] if bottom else values)[min(n // 2 if percent else n, 50) - 1]
+        got = {r["k"] for r in specs.top_rule(df, "v", "k", n, percent, bottom).where("hit").collect()}
+        assert got == {k for k in range(50) if (k * 7 % 23 <= edge if bottom else k * 7 % 23 >= edge)}
+
+
+def test_styles_are_inherited_over_twenty_steps(spark):
+    chain = spark.createDataFrame([(k, k - 1 if k else None, "x" if k == 0 else None) for k in range(30)], "id int, up int, f string")
+    got = {r["id"]: r["f"] for r in lookup.inherit(chain, "id", "up", ["f"]).collect()}
+    assert got == {k: "x" if k <= 20 else None for k in range(30)}
+
+
 def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name;age\n"Al; ""x""";30\n"two\nlines";true\nBo;\n')
     table = delimited.read_text_table(spark, str(tmp_path / "a.csv"))
