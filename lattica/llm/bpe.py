@@ -111,10 +111,11 @@ def word_starts(data: np.ndarray, offsets: np.ndarray, pattern: str) -> np.ndarr
 
 
 def _squeeze(*arrays) -> bytes:
-    """Arrays of one chunk as a compressed blob: count, then kind, length and bytes of each."""
+    """Arrays as a compressed blob: count, then kind, length and bytes of each; of numbers all first bytes, all second bytes, and so on."""
     parts = [len(arrays).to_bytes(1, "little")]
     for a in arrays:
-        raw = a.tobytes()
+        a = np.ascontiguousarray(a).ravel()
+        raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
         parts += [a.dtype.str.encode().ljust(4), len(raw).to_bytes(8, "little"), raw]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
@@ -123,12 +124,17 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     out, at = [], 1
     for _ in range(raw[0]):
-        kind, size = raw[at : at + 4].decode().strip(), int.from_bytes(raw[at + 4 : at + 12], "little")
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at + 12))
+        kind, size = np.dtype(raw[at : at + 4].decode().strip()), int.from_bytes(raw[at + 4 : at + 12], "little")
+        planes = np.frombuffer(raw, np.uint8, size, at + 12).reshape(kind.itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += 12 + size
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=0).astype(np.uint32)
+
+
 class _Chunk:
     """The distinct words of a chunk, numbered as they come, and the word at each position of its pieces."""
 
@@ -163,13 +169,13 @@ class _Chunk:
         self.size += len(data)
 
     def rows(self, buckets: int):
-        """(kind, place, chunk, blob): kind 0 the words of bucket `place` with their numbers, kind 1 the piece `place`."""
+        """(kind, place, chunk, blob): kind 0 the words of bucket `place` with the steps of their numbers, kind 1 the piece `place`."""
         hashes = np.concatenate(self.of_word) if self.of_word else np.zeros(0, U64)
         bucket = ((hashes >> U64(32)) % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for b, some in zip(*_split(bucket[order], order), strict=True):
             words = [self.words[k] for k in some.tolist()]
-            blob = _squeeze(some.astype(np.uint32), np.array([len(w) for w in words], np.uint32), np.frombuffer(b"".join(words), np.uint8))
+            blob = _squeeze(_steps(some), np.array([len(w) for w in words], np.uint32), np.frombuffer(b"".join(words), np.uint8))
             yield self._row(0, b, blob)
         for k, blob in enumerate(self.pieces):
             yield self._row(1, k, blob)
@@ -208,7 +214,7 @@ def _encode(path: str, pattern: str):
         done: dict[bytes, list[int]] = {}
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                numbers, lengths, flat = _unsqueeze(blob)
+                steps, lengths, flat = _unsqueeze(blob)
                 raw, counts, ids, at = flat.tobytes(), [], [], 0
                 for n in lengths.tolist():
                     word = raw[at : at + n]
@@ -218,7 +224,7 @@ def _encode(path: str, pattern: str):
                         got = done[word] = piece(word)
                     counts.append(len(got))
                     ids += got
-                answer = _squeeze(numbers, np.array(counts, np.uint32), np.array(ids, np.uint32))
+                answer = _squeeze(steps, np.array(counts, np.uint32), np.array(ids, np.uint32))
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk], "ids": pa.array([answer], pa.binary())})
 
     return run
@@ -227,7 +233,7 @@ def _encode(path: str, pattern: str):
 def _reassemble(finish):
     def run(pieces, answers):
         got = [_unsqueeze(x.as_py()) for x in answers["ids"]]
-        numbers = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint32)
+        numbers = np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got]) if got else np.zeros(0, np.uint32)
         counts = np.concatenate([g[1] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
         flat = np.concatenate([g[2] for g in got]) if got else np.zeros(0, np.uint32)
         order = np.argsort(numbers)

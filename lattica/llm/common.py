@@ -78,6 +78,35 @@ def join_heavy(left: DataFrame, right: DataFrame, on: str, weight: str, rows: in
     return left.join(heavy, on).unionByName(left.join(heavy.select(on), on, "left_anti").join(light, on, how))
 
 
+#: Bits of a presence filter, whatever the number of keys: 4 MB. With more keys it lets more others through, never fewer of its own.
+PRESENCE_BITS = 1 << 25
+_BITMAP = 32768  # Spark's bitmaps
+
+
+def presence_filter(keys: DataFrame, key: str):
+    """A broadcast Bloom filter of fixed size over a long column; present() asks it.
+
+    The bits are set by Spark's bitmap aggregate, so what reaches the driver is the filter's size at any number of keys.
+    """
+    spots = F.explode(F.array(*(F.pmod(F.shiftrightunsigned(F.col(key), k), F.lit(PRESENCE_BITS)) + 1 for k in (0, 32))))
+    bits = keys.where(F.col(key).isNotNull()).select(spots.alias("at"))
+    made = bits.groupBy(F.bitmap_bucket_number("at").alias("nr")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    table = np.zeros((PRESENCE_BITS // _BITMAP, _BITMAP // 8), np.uint8)
+    for r in made.collect():  # at most PRESENCE_BITS / 8 bytes
+        table[r["nr"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table.ravel())
+
+
+def present(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in the filter: all that are, and some others."""
+    keys = keys.view(U64)
+    found = np.ones(len(keys), bool)
+    for shift in (0, 32):
+        at = (keys >> U64(shift)) % U64(PRESENCE_BITS)
+        found &= (table[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
 # ---------------------------------------------------------------- Arrow helpers
 
 

@@ -7,8 +7,9 @@ digests are screened shard by shard. Only positives join the snapshot's exact bu
 that repeat within a batch are grouped without the filter. The filters of a snapshot can be kept: save_filters()
 writes them, and exact_dedup() takes them as they were saved.
 
-The texts behind every digest that is shared are then compared byte by byte: each task sends a distinct
-text once, compressed, to the digests that are suspect; a group is one text exactly when its least and its
+The texts behind every digest that is shared are then compared byte by byte: a filter of fixed size lets the
+suspects' texts (and, of very many, others with them) through the second scan, each task sends a distinct one
+once, compressed, and a join takes the suspects' alone; a group is one text exactly when its least and its
 greatest text are the same, which combines map-side; a digest with several texts is regrouped by the text
 itself. Digests of many rows are joined by broadcast, of which there are at most four a partition.
 
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, Stage, join_heavy, mix, shuffle_width
+from lattica.llm.common import U64, Stage, join_heavy, mix, presence_filter, present, shuffle_width
 
 #: Keys of one filter, at most about this many.
 SHARD_KEYS = 1 << 18
@@ -193,12 +194,14 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id: str = "d
     old, new = groups.df.where("old"), groups.df.where("not old")
 
     positives = screen(new, saved.select("shard", "filter") if filters else build_filters(old)).select("digest")
-    shared = positives.join(old.select("digest"), "digest")
+    confirmed = positives.join(old.select("digest"), "digest")
     repeated = groups.df.where("size > 1").select("digest")
-    suspects = Stage(shared.union(repeated).distinct(), "suspects")
+    suspects = Stage(confirmed.union(repeated).distinct(), "suspects")
 
-    texts = rows.select(digest(F.col("norm")).alias("digest"), "norm").mapInArrow(_distinct_texts, "digest binary, text binary")
-    texts = texts.join(suspects.df, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    shared = presence_filter(suspects.df.select(F.xxhash64("digest").alias("key")), "key")
+    texts = rows.select(digest(F.col("norm")).alias("digest"), "norm").select("digest", F.xxhash64("digest").alias("key"), "norm")
+    texts = texts.mapInArrow(lambda batches: _distinct_texts(batches, shared.value), "digest binary, text binary")
+    texts = texts.join(suspects.df.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     checked = Stage(texts.select("digest", (F.col("lo") == F.col("hi")).alias("one")), "checked")
 
     one = checked.df.where("one").select("digest")
@@ -216,8 +219,8 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, id: str = "d
     return out.select(F.col("id").alias(id), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _distinct_texts(batches):
-    """(digest, compressed text) of the distinct texts of a task's rows; equal texts have equal bytes here too."""
+def _distinct_texts(batches, filter_):
+    """(digest, compressed text) of the distinct texts of a task's rows that pass the filter; equal texts have equal bytes here too."""
     zip_ = zstandard.ZstdCompressor(level=3)
     held: set[tuple[bytes, bytes]] = set()
     size = 0
@@ -229,7 +232,8 @@ def _distinct_texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.binary()), pa.array([t for _, t in some], pa.binary())], names=["digest", "text"])
 
     for batch in batches:
-        for digest, text in zip(batch.column(0), batch.column(1), strict=True):
+        batch = batch.filter(pa.array(present(filter_, np.asarray(batch.column(1)))))
+        for digest, text in zip(batch.column(0), batch.column(2), strict=True):
             pair = digest.as_py(), zip_.compress(text.as_buffer() or b"")
             if pair not in held:
                 held.add(pair)

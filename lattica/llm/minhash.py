@@ -19,8 +19,8 @@ holds two components or more is compared across its components in blocks of CLUS
 fills parts of its own, which never meet each other, so its texts go only to where other components are. So
 no cluster is one task's load, no pair is emitted (a block of either kind gives a forest of the links
 it finds) and no link between texts that share a bucket and pass the limit is lost. Full sets are
-compared from the texts of candidates alone: the second scan sends each text compressed to a join with the
-candidates' rows, which Spark makes a broadcast where they measure little. Buckets grow in number with the classes.
+compared from the texts of candidates alone: a filter of fixed size lets the candidates' rows (and, of very many, others with them) through the second scan, compressed, to a join that takes the candidates' alone. Buckets
+grow in number with the classes. Tables that grow with the corpus meet in sort-merge joins at every size.
 
 Nulls: a null or blank text has the empty set and links with nothing. Rows that repeat an id are
 rows of their own; with a row column given, exactly one of them is kept. A null id never names a component that has another id. An empty table gives an
@@ -36,8 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import _squeeze, _unsqueeze
-from lattica.llm.common import LOWER, U64, Stage, bytes_of, cut_rows, flat_ranges, mix, shuffle_width, span_hashes, words_of
+from lattica.llm.common import LOWER, U64, Stage, bytes_of, cut_rows, flat_ranges, mix, presence_filter, present, shuffle_width, span_hashes, words_of
 from lattica.llm.components import connected_components
+from lattica.llm.suffix import _gather_sorted, _spread_sorted
 
 SHINGLE = 5
 CHUNKS, CHUNK = 16, 6
@@ -48,6 +49,8 @@ MEET_ROWS = 2000
 STAR_ROWS = 500
 PIECE_BYTES = 1 << 20
 TASK_CLASSES = 1 << 15
+#: Bits of a bucket key. Keys that are equal by chance make candidates, which their signatures drop.
+KEY_BITS = 48
 #: A bucket task gets the keys of about so many classes.
 BUCKET_CLASSES = 1 << 14
 
@@ -95,7 +98,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     """CHUNKS * CHUNK keys for each row of SYMBOLS symbols: one for each chunk and symbol left out."""
     parts = mix(signatures.reshape(-1, CHUNKS, CHUNK).astype(U64) + _PLACE) * _PLACE
-    return mix(parts.sum(2, keepdims=True) - parts + _KEY).reshape(len(signatures), -1)
+    return mix(parts.sum(2, keepdims=True) - parts + _KEY).reshape(len(signatures), -1) >> U64(64 - KEY_BITS)
 
 
 def _sketch(rows):
@@ -138,14 +141,14 @@ def _file(buckets: int):
         ids = np.concatenate(ids)
         keys = bucket_keys(np.concatenate(signatures))
         keys, centres, edges = _star(keys.ravel(), np.repeat(ids, keys.shape[1]))
-        at = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)
+        at = ((keys >> U64(16)) % U64(buckets)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         bounds = np.searchsorted(at[order], np.arange(buckets + 1))
         for b in range(buckets):
             some = order[bounds[b] : bounds[b + 1]]
             mine = edges[b::buckets]
             if len(some) or len(mine):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([_squeeze(keys[some], centres[some], mine)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([_squeeze(_spread_sorted(keys[some]), centres[some], mine)], pa.binary())})
 
     def run(rows):
         ids, signatures, held = [], [], 0
@@ -166,7 +169,7 @@ def _file(buckets: int):
 def _meet(table):
     """The edges of a bucket of keys."""
     blobs = [_unsqueeze(x.as_py()) for x in table["blob"]]
-    _, _, edges = _star(np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]))
+    _, _, edges = _star(np.concatenate([_gather_sorted(b[0]) for b in blobs]), np.concatenate([b[1] for b in blobs]))
     edges = np.concatenate([edges, *(b[2].reshape(-1, 2) for b in blobs)])
     edges = np.unique(np.sort(edges, 1), axis=0)
     return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
@@ -181,12 +184,12 @@ def _refile(buckets: int):
                 keys = bucket_keys(_signatures(batch.column(2)))
                 ids, clusters = (np.repeat(batch.column(k).to_numpy(), keys.shape[1]) for k in (0, 1))
                 keys = keys.ravel()
-                at = ((keys >> U64(32)) % U64(buckets)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
+                at = ((keys >> U64(16)) % U64(buckets)).astype(np.int64)
+                order = np.lexsort((keys, at))
                 bounds = np.searchsorted(at[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(bounds)).tolist():
                     some = order[bounds[b] : bounds[b + 1]]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([_squeeze(keys[some], ids[some], clusters[some])], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([_squeeze(_spread_sorted(keys[some]), ids[some], clusters[some])], pa.binary())})
 
     return run
 
@@ -196,7 +199,9 @@ def _mixed(table):
 
     meet names the members, so keys of the same members are one.
     """
-    keys, ids, clusters = (np.concatenate(x) for x in zip(*(_unsqueeze(x.as_py()) for x in table["blob"]), strict=True))
+    blobs = [_unsqueeze(x.as_py()) for x in table["blob"]]
+    keys = np.concatenate([_gather_sorted(b[0]) for b in blobs])
+    ids, clusters = (np.concatenate([b[k] for b in blobs]) for k in (1, 2))
     order = np.lexsort((ids, keys))
     keys, ids, clusters = keys[order], ids[order], clusters[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -292,7 +297,7 @@ def _across(percent: int):
 
 def _similar(edges: DataFrame, classes: Stage) -> DataFrame:
     """The (a, b) edges whose sizes and signatures allow the similarity."""
-    side = lambda s: classes.df.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}"))
+    side = lambda s: classes.df.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}")).hint("merge")
 
     def run(rows):
         for batch in rows:
@@ -307,11 +312,13 @@ def _similar(edges: DataFrame, classes: Stage) -> DataFrame:
 def _candidate_texts(docs: DataFrame, edges: Stage, classes: Stage) -> Stage:
     """(class, text) of one row of each class that has an edge; texts are compressed. docs: (id, hash of the text, text)."""
     nodes = edges.df.select(F.col("a").alias("class")).union(edges.df.select("b")).distinct()
-    nodes = Stage(nodes.join(classes.df.select("class", "at"), "class").select("class", "at.*"), "nodes")
+    nodes = Stage(nodes.join(classes.df.select("class", "at").hint("merge"), "class").select("class", "at.*"), "nodes")
+    shared = presence_filter(nodes.df, "hash")
 
     def send(rows):
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
         for batch in rows:
+            batch = batch.filter(pa.array(present(shared.value, np.asarray(batch.column(1)))))
             seen = set()
             first = [k for k, x in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if x not in seen and not seen.add(x)]
             batch = batch.take(pa.array(first, pa.int64()))
@@ -322,7 +329,7 @@ def _candidate_texts(docs: DataFrame, edges: Stage, classes: Stage) -> Stage:
     texts = docs.select("id", "hash", "text").mapInArrow(send, "id long, hash long, text binary")
     wanted = nodes.df.select("class", F.col("id").alias("wanted_id"), F.col("hash").alias("wanted"))
     same = (F.col("hash") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("wanted_id"))
-    texts = Stage(texts.join(wanted, same).groupBy("class").agg(F.min("text").alias("text")), "candidates")
+    texts = Stage(texts.join(wanted.hint("merge"), same).groupBy("class").agg(F.min("text").alias("text")), "candidates")
     nodes.drop()
     return texts
 
@@ -353,8 +360,8 @@ def _confirm(edges: Stage, texts: Stage, percent: int) -> DataFrame:
     """The (a, b) edges with 100 * intersection >= percent * union on full sets."""
     stars = edges.df.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("parts"))
     salted = edges.df.join(stars, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = salted.join(texts.df.select(F.col("class").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    centres = stars.join(texts.df.select(F.col("class").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
+    members = salted.join(texts.df.select(F.col("class").alias("b"), "text").hint("merge"), "b").select("a", "part", "b", "text")
+    centres = stars.join(texts.df.select(F.col("class").alias("a"), "text").hint("merge"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
 
     def compare(members, centres):
         unzip = zstandard.ZstdDecompressor()
@@ -400,10 +407,10 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     step = near.df.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("up"))
     twice = step.join(step.select(F.col("class").alias("up"), F.col("up").alias("top")), "up", "left").select("class", F.coalesce("top", "up").alias("cluster"))
     met = stars.df.select(F.col("a").alias("class")).union(stars.df.select("b")).distinct()
-    met = met.join(twice, "class", "left").join(classes.df.select("class", "signature"), "class")
+    met = met.join(twice, "class", "left").join(classes.df.select("class", "signature").hint("merge"), "class")
     refiled = met.select("class", F.coalesce("cluster", "class").alias("cluster"), "signature").mapInArrow(_refile(buckets), "bucket long, blob binary")
     mixed = refiled.groupBy("bucket").applyInArrow(_mixed, "meet long, class long, cluster long, part int, parts int").distinct()
-    mixed = Stage(mixed, "mixed").df.join(classes.df.select("class", "n", "signature"), "class")
+    mixed = Stage(mixed, "mixed").df.join(classes.df.select("class", "n", "signature").hint("merge"), "class")
     blocks = _blocks(mixed, "meet", ["class", "cluster", "n", "signature"]).groupBy("meet", "p", "q")
     beside = Stage(blocks.applyInArrow(_across_signatures, "a long, b long").distinct(), "beside")
     if beside.df.limit(1).count():
@@ -417,7 +424,7 @@ def minhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     clusters = connected_components(near.df).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     clusters = clusters.join(comps.df.withColumnRenamed("node", "class"), "class", "left").select("class", "cluster", F.coalesce("root", "class").alias("comp"))
     clusters = Stage(clusters, "clusters")
-    met = _cluster_blocks(clusters.df).join(texts.df, "class")
+    met = _cluster_blocks(clusters.df).join(texts.df.hint("merge"), "class")
     more = met.groupBy("cluster", "p", "q").applyInArrow(_across(percent), "a long, b long")
     more = Stage(more, "links")
     if more.df.limit(1).count():

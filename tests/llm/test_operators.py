@@ -94,7 +94,7 @@ def test_blocks_of_a_bucket(spark, monkeypatch, rows):
     signatures = rng.integers(0, 9, (40, minhash.SYMBOLS)).astype(np.uint16)
     signatures[30] = signatures[11]
     signatures[30, :40] += 20
-    blob = minhash._squeeze(np.full(40, 5, np.uint64), np.arange(40), np.arange(40))
+    blob = minhash._squeeze(minhash._spread_sorted(np.full(40, 5, np.uint64)), np.arange(40), np.arange(40))
     members = minhash._mixed(pa.table({"blob": pa.array([blob], pa.binary())})).to_pylist()
     frame_ = spark.createDataFrame([(m["meet"], m["class"], m["cluster"], m["part"], m["parts"], 50, signatures[m["class"]].tobytes()) for m in members], "meet long, class long, cluster long, part int, parts int, n long, signature binary")
     blocks = minhash._blocks(frame_, "meet", ["class", "cluster", "n", "signature"]).groupBy("meet", "p", "q")
