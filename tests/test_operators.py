@@ -428,13 +428,15 @@ def _code_sanitized(raw):
     return raw
 
 
-def test_code_sanitize_pages_covers_all_pages(spark, tmp_path):
+def test_code_sanitize_covers_all_pages(spark, tmp_path):
+    from lattica.queries import _REFERENCES
+
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     odd = [(-1, None), (-2, ""), (-3, r"x&sup;² &lt; &#65;&#x4e2d; H₂O&times;… \u0041 &#xD800;"), (-4, "‘a’ &amp;copy; ≥≤≠≈∞−±∧∨·")]
     pages = pages.select("page_id", "html").union(spark.createDataFrame(odd, "page_id long, html string"))
     pages.write.parquet(f"{tmp_path}/pages.parquet")
-    want = {r["page_id"]: None if r["html"] is None else hashlib.sha256(_code_sanitized(r["html"]).encode()).hexdigest() for r in pages.collect()}
-    got = {r["page_id"]: r["sha"] for r in QUERIES["code_sanitize_pages"](spark, str(tmp_path)).collect()}
+    want = {r["page_id"]: None if r["html"] is None else hashlib.sha256(_code_sanitized(_REFERENCES + r["html"]).encode()).hexdigest() for r in pages.collect()}
+    got = {r["page_id"]: r["sha"] for r in QUERIES["code_sanitize"](spark, str(tmp_path)).collect()}
     assert len(want) == 54 and got == want
 
 
