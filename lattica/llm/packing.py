@@ -1,11 +1,11 @@
 """Sum-of-squares packing of tokenised documents into sequences.
 
 A document's ids, closed by an end id, are cut into full windows and a rest; a full window is a
-sequence of its own. The rests go, longest first, to the fill level that makes the sum of the
-squared counts of partially filled windows least (Csirik et al.); the counts stand in one level
-array, ties prefer the fullest window and an open window over a new one. Rests are dealt to shards
-of SHARD_ROWS by a hash of document and place, so a shard's state is one level array and its
-windows; each shard leaves at most a few windows open.
+sequence of its own. The rests go online, one after the other as their ids come and never looked at
+again, to the fill level that makes the sum of the squared counts of partially filled windows least
+(Csirik et al.); the counts stand in one level array, ties prefer the fullest window and an open
+window over a new one. Rests are dealt to shards of SHARD_ROWS by a hash of document and place, so a
+shard's state is one level array and its windows; each shard leaves at most a few windows open.
 
 Tokens are counted and checked in the scan, where each distinct word is encoded once a worker; what
 is shuffled is a row of numbers a piece.
@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS)
 
     def run(table):
         length = np.asarray(table["length"])
-        order = np.lexsort((np.asarray(table["ids_crc32"]), np.asarray(table["start"]), np.asarray(table["doc_id"].fill_null(0)), -length))
+        order = np.lexsort((length, np.asarray(table["ids_crc32"]), np.asarray(table["start"]), np.asarray(table["doc_id"].fill_null(0))))
         sequence, offset = sum_of_squares(length[order], window)
         shard = int(table["shard"][0].as_py())
         out = table.drop_columns(["shard"]).take(pa.array(order))

@@ -127,5 +127,39 @@ FROM v JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c
 """
 
 
+_OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = d.doc_id
+"""
+
+_OP6 = """
+WITH p AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM p)),
+m AS (SELECT g, min(doc_id) AS first FROM k GROUP BY g),
+hit AS (SELECT doc_id, i FROM k JOIN m USING (g) WHERE first < doc_id),
+b AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS j FROM p)),
+c AS (SELECT b.doc_id, j, x, coalesce(max(i) OVER w >= j - 49, false) AS gone FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND i = j
+  WINDOW w AS (PARTITION BY b.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS begins FROM c),
+t AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM p LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op8_warc": _OP8, "op10_embedding_dedup": _OP10}
+    return {"op4_exact_dedup": _OP4, "op5_minhash": _OP5, "op6_suffix_array": _OP6, "op8_warc": _OP8, "op10_embedding_dedup": _OP10}

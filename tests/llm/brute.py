@@ -162,3 +162,27 @@ def piece_rows(ids, end_id=2):
     import numpy as np
 
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def severity(text, model):
+    """(expected severity, P(grade >= 1)) of a text, word by word."""
+    import math
+
+    import numpy as np
+
+    from lattica.llm.common import U64, mix, span_hashes
+
+    counts = defaultdict(int)
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        word = re.sub(rb"(?<=[\x00-\xff])[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", b"", word.lower()) or word[:1].lower()
+        counts[word, 0] += 1
+        for n in (4, 5, 6, 7):
+            if len(word) >= n:
+                counts[word[:n], n] += 1
+    known = dict(zip(model.names.tolist(), model.weights.tolist(), strict=True))
+    x = 0.0
+    for (word, n), c in counts.items():
+        name = span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+        x += math.log1p(c) * known.get(int((mix(name + U64(n)) if n else name)[0]), 0.0)
+    above = [1 / (1 + math.exp(max(-50, min(50, t - x)))) for t in model.thresholds]
+    return sum(above), above[0] if above else 0.0
