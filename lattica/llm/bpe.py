@@ -8,8 +8,9 @@ join their chunk again and are put at the words' positions. A word that fills a
 entry a chunk. Buckets grow in number with the text. Decoding joins ids with the token-byte table, which is the
 tokenizer's own vocabulary and so of one size; every task holds it.
 
-Both kinds come from one written pass, so chunks need not be cut alike twice; a chunk whose answers do not fit
-its words fails the job rather than lose rows.
+Both kinds come from one written pass, in a table whose files are bucketed by chunk: the positions are read where
+they lie and only the words and their ids cross the network. A chunk whose answers do not fit its words fails
+the job rather than lose rows.
 
 Nulls: a null text is empty and has no tokens; ids may be null or repeat, each row is encoded. An
 empty table gives an empty result. Texts of any length are whole: a long one is a chunk of its own.
@@ -295,9 +296,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, output=real_outpu
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(spark), size // BUCKET_BYTES)
     finish, schema = output(path)
+    chunks = max(shuffle_width(spark), size // CHUNK_BYTES)
     kept = new_path(spark, "words")
-    rows.mapInArrow(_explode(pattern, buckets), "kind int, place long, chunk string, blob binary").write.partitionBy("kind").option("compression", "none").parquet(kept)
-    made = spark.read.schema("place long, chunk string, blob binary, kind int").parquet(kept)
+    name = "lattica_words_" + kept.rsplit("-", 1)[1]
+    exploded = rows.mapInArrow(_explode(pattern, buckets), "kind int, place long, chunk string, blob binary")
+    exploded.write.partitionBy("kind").bucketBy(chunks, "chunk").option("path", kept).option("compression", "none").saveAsTable(name)
+    made = spark.table(name)
     words = made.where("kind = 0").repartition(buckets, "place").select("chunk", "blob")
     answers = words.mapInArrow(_encode(path, pattern), "chunk string, ids binary")
     pieces = made.where("kind = 1").select("chunk", "blob")
