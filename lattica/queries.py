@@ -556,14 +556,6 @@ def closed_distributions(t: Tables):
     return rounded(df.select("l_orderkey", "l_linenumber", "l_partkey", *[row_formula(df, f).alias(n) for n, f in made.items()]), 8)
 
 
-@query()
-def distributions(t: Tables):
-    """The distributions without a closed form, as Arrow batches; tests hold them against tabulated values."""
-    df = t.part.select("p_partkey", (F.col("p_size") / 10.0).alias("x"))
-    made = {"norm": "NORM.S.DIST(x,TRUE)", "gamma": "GAMMA.DIST(x,2,1,TRUE)", "chi": "CHISQ.DIST.RT(x,3)", "student": "T.DIST.2T(x,10)", "fisher": "F.DIST.RT(x,3,20)", "inverse": "NORM.INV(x/6,0,1)"}
-    return _formulas(df, "p_partkey", made)
-
-
 @query("""
 SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 5) AS sumsq, round(list_dot_product(v, v), 5) AS dot, round(list_max(v), 5) AS high, round(list_sum(list_transform(v, lambda x: 2 * x + 1)), 4) AS mapped,
   len(list_filter(v, lambda x: x > 0))::DOUBLE AS positive, round(list_sort(v)[2], 5) AS small2, round(median, 5) AS median
