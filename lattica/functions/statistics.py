@@ -249,13 +249,24 @@ _UDF = {
     "GAMMALN": ("n", special.log_gamma),
     "GAMMA.DIST GAMMADIST": ("nnnb", special.gamma),
     "GAMMA.INV GAMMAINV": ("nnn", special.gamma_inv),
-    "BETA.DIST": ("nnnb", special.beta),
-    "BETADIST": ("nnn", lambda x, a, b: special.beta(x, a, b, 1.0)),
-    "BETA.INV BETAINV": ("nnn", special.beta_inv),
     "CHISQ.DIST": ("nnb", special.chi_square),
     "CHISQ.DIST.RT CHISQDIST CHIDIST": ("nn", lambda x, k: 1 - special.chi_square(x, k, 1.0)),
     "CHISQ.INV": ("nn", special.chi_square_inv),
     "CHISQ.INV.RT CHIINV": ("nn", lambda p, k: special.chi_square_inv(1 - p, k)),
+    "CONFIDENCE CONFIDENCE.NORM": ("nnn", lambda a, sd, n: special.normal_inv(1 - a / 2, 0.0, 1.0) * sd / n**0.5),
+    "GAUSS": ("n", lambda x: special.normal(x, 0.0, 1.0, 1.0) - 0.5),
+    "HYPGEOM.DIST": ("nnnnb", special.hypergeometric),
+    "HYPGEOMDIST": ("nnnn", lambda x, n, m, t: special.hypergeometric(x, n, m, t, 0.0)),
+    "NEGBINOM.DIST": ("nnnb", special.negative_binomial),
+    "NEGBINOMDIST": ("nnn", lambda f, s, p: special.negative_binomial(f, s, p, 0.0)),
+    "ERF": ("n", special.erf),
+    "ERFC": ("n", lambda x: 1 - special.erf(x)),
+}
+#: The same of functions that take whole arrays.
+_ARRAY_UDF = {
+    "BETA.DIST": ("nnnb", special.beta),
+    "BETADIST": ("nnn", lambda x, a, b: special.beta(x, a, b, 1.0)),
+    "BETA.INV BETAINV": ("nnn", special.beta_inv),
     "T.DIST": ("nnb", special.student),
     "T.DIST.RT": ("nn", lambda x, k: 1 - special.student(x, k, 1.0)),
     "T.DIST.2T": ("nn", lambda x, k: 2 * (1 - special.student(abs(x), k, 1.0))),
@@ -266,17 +277,9 @@ _UDF = {
     "F.DIST.RT FDIST": ("nnn", lambda x, a, b: 1 - special.fisher(x, a, b, 1.0)),
     "F.INV": ("nnn", special.fisher_inv),
     "F.INV.RT FINV": ("nnn", lambda p, a, b: special.fisher_inv(1 - p, a, b)),
-    "CONFIDENCE CONFIDENCE.NORM": ("nnn", lambda a, sd, n: special.normal_inv(1 - a / 2, 0.0, 1.0) * sd / n**0.5),
-    "GAUSS": ("n", lambda x: special.normal(x, 0.0, 1.0, 1.0) - 0.5),
-    "HYPGEOM.DIST": ("nnnnb", special.hypergeometric),
-    "HYPGEOMDIST": ("nnnn", lambda x, n, m, t: special.hypergeometric(x, n, m, t, 0.0)),
-    "NEGBINOM.DIST": ("nnnb", special.negative_binomial),
-    "NEGBINOMDIST": ("nnn", lambda f, s, p: special.negative_binomial(f, s, p, 0.0)),
-    "ERF": ("n", special.erf),
-    "ERFC": ("n", lambda x: 1 - special.erf(x)),
 }
-for _names, (_sig, _f) in _UDF.items():
-    register(_names)(lambda *args, f=_f, sig=_sig: E(special.vectorised(f)(*(boolean(a).cast("double") if c == "b" else num(a) for a, c in zip(args, sig, strict=True))), "n"))
+for _names, (_sig, _f) in (_UDF | _ARRAY_UDF).items():
+    register(_names)(lambda *args, f=_f, sig=_sig, whole=_names in _ARRAY_UDF: E(special.vectorised(f, whole)(*(boolean(a).cast("double") if c == "b" else num(a) for a, c in zip(args, sig, strict=True))), "n"))
 
 
 @register("Z.TEST ZTEST", "en|n")
@@ -301,7 +304,7 @@ def _t_test(a, b, tails, kind):
     free = se * se / (F.pow(vx / nx, 2) / (nx - 1) + F.pow(vy / ny, 2) / (ny - 1))
     t = F.when(kind == 1, paired).when(kind == 2, equal).otherwise(welch)
     k = F.when(kind == 1, count(gaps) - 1).when(kind == 2, nx + ny - 2).otherwise(free)
-    return special.vectorised(lambda t, k, tails: tails * (1 - special.student(abs(t), k, 1.0)))(t, k, tails)
+    return special.vectorised(lambda t, k, tails: tails * (1 - special.student(abs(t), k, 1.0)), True)(t, k, tails)
 
 
 @register("F.TEST FTEST", "ee")
@@ -311,7 +314,7 @@ def _f_test(a, b):
     swap = vx < vy
     ratio = F.when(swap, vy / vx).otherwise(vx / vy)
     top, low = F.when(swap, count(y)).otherwise(count(x)) - 1, F.when(swap, count(x)).otherwise(count(y)) - 1
-    return special.vectorised(lambda f, a, b: 2 * (1 - special.fisher(f, a, b, 1.0)))(ratio, top, low)
+    return special.vectorised(lambda f, a, b: 2 * (1 - special.fisher(f, a, b, 1.0)), True)(ratio, top, low)
 
 
 @register("CHISQ.TEST CHITEST")
