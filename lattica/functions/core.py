@@ -3,12 +3,13 @@
 An expression is a Column with a static kind: number (double), string, boolean, or a grid (array of
 rows) of one of those. Spreadsheet errors and empty cells are null; each function says what a null
 argument gives by what Spark's functions do with it. Everything stays a JVM expression, but for the
-distributions, which are vectorised Python over Arrow batches.
+distributions and the roots of RATE, IRR and XIRR, which are vectorised Python over Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -38,6 +39,25 @@ class Fun:
     call: Callable[..., E]
 
 
+#: How many bodies of LAMBDAs are being lowered.
+_bodies = 0
+
+
+@contextmanager
+def lambda_body():
+    global _bodies
+    _bodies += 1
+    try:
+        yield
+    finally:
+        _bodies -= 1
+
+
+def in_lambda() -> bool:
+    """Is the body of a LAMBDA being lowered, whose variables Spark gives to no Python function?"""
+    return _bodies > 0
+
+
 def lit(value) -> E:
     if value is None:
         return E(F.lit(None).cast("double"), NUM)

@@ -1,11 +1,13 @@
-"""Annuities, depreciation, rates. Roots are found by bisection, inside the row's expression."""
+"""Annuities, depreciation, rates. Roots are found by bisection, of whole Arrow batches; in the body of a LAMBDA,
+where Spark takes no Python, and for flows that are not written out cell by cell, inside the row's expression."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lattica.functions.core import E, default, flat, num, numbers, register, total
+from lattica.functions.core import STR, E, default, flat, in_lambda, num, numbers, register, written
 from lattica.functions.mathematics import away
 
 LOW, HIGH, HALVINGS = -0.9999, 10.0, 200
@@ -26,6 +28,76 @@ def solve(f, low: float = LOW, high: float = HIGH) -> Column:
     return F.when(F.signum(f(lo)) * F.signum(f(hi)) <= 0, root)
 
 
+def halved(gap, rows: int) -> np.ndarray:
+    """The roots of gap, which takes a rate for each row, between LOW and HIGH; NaN where the ends have one sign."""
+    low, high = np.full(rows, LOW), np.full(rows, HIGH)
+    with np.errstate(all="ignore"):
+        start, end = np.sign(gap(low)), np.sign(gap(high))
+        for _ in range(HALVINGS):
+            mid = (low + high) / 2
+            if not ((low < mid) & (mid < high)).any():
+                break
+            left = np.sign(gap(mid)) == start
+            low, high = np.where(left, mid, low), np.where(left, high, mid)
+    return np.where(start * end <= 0, (low + high) / 2, np.nan)
+
+
+def roots(gap):
+    """A Pandas UDF: gap makes of a batch's columns the function that `halved` takes."""
+    import pandas as pd
+
+    @F.pandas_udf("double", F.PandasUDFType.SCALAR)
+    def run(*columns):
+        return pd.Series(halved(gap(*columns), len(columns[0])))
+
+    return lambda *columns: F.nanvl(run(*columns), F.lit(None).cast("double"))
+
+
+def annuity_gap(n, pay, pv, f, when):
+    """What is left of an annuity at a rate, over its growth where that is above 1, so that no power overflows."""
+    n, pay, pv, f, when = (np.asarray(c, dtype=float) for c in (n, pay, pv, f, when))
+
+    def gap(r):
+        grown = n * np.log1p(r)
+        part, by = np.exp(-np.abs(grown)), np.expm1(-np.abs(grown))
+        paid = pay * (1 + r * when) * np.where(r == 0, n, np.where(grown > 0, -by, by) / r)
+        return np.where(grown > 0, pv + paid + f * part, pv * part + paid + f)
+
+    return gap
+
+
+def _packed(columns):
+    """(cells, count) of each row, empty cells behind the others."""
+    cells = np.column_stack([np.asarray(c, dtype=float) for c in columns])
+    empty = np.isnan(cells)
+    return np.take_along_axis(cells, np.argsort(empty, axis=1, kind="stable"), 1), (~empty).sum(axis=1)
+
+
+def _worth(flows, times, count):
+    """The flows' worth at a rate, at the first time where it is above 0 and else at the last, so that no power overflows."""
+    held = np.arange(flows.shape[1]) < count[:, None]
+    flows, times = np.where(held, flows, 0.0), np.where(held, times, times[:, :1])
+    forth, back = times.min(axis=1, keepdims=True) - times, times.max(axis=1, keepdims=True) - times
+
+    def gap(r):
+        return (flows * np.exp(np.where(r[:, None] < 0, back, forth) * np.log1p(r)[:, None])).sum(axis=1)
+
+    return gap
+
+
+def periods_gap(*flows):
+    flows, count = _packed(flows)
+    return _worth(np.where(count[:, None] > 0, flows, np.nan), np.broadcast_to(np.arange(flows.shape[1], dtype=float), flows.shape), np.maximum(count, 1))
+
+
+def dates_gap(*columns):
+    """Flows, then as many days; as many of both must be there in a row."""
+    flows, count = _packed(columns[: len(columns) // 2])
+    days, there = _packed(columns[len(columns) // 2 :])
+    right = (count == there) & (count > 0)
+    return _worth(np.where(right[:, None], flows, np.nan), np.where(right[:, None], days, 0.0) / 365.0, np.maximum(count, 1))
+
+
 def npv(rate: Column, flows: Column) -> Column:
     return F.aggregate(
         flows,
@@ -36,7 +108,20 @@ def npv(rate: Column, flows: Column) -> Column:
 
 
 register("NPV", "nN")(npv)
-register("IRR", "e|n")(lambda flows, guess: solve(lambda r: npv(r, numbers([flows]))))
+
+
+def _cells(e: E) -> list[Column]:
+    """The numbers of a value or of a grid that is written out, or none."""
+    return [num(x) for r in written(e) or [] for x in r if x.kind != STR]
+
+
+@register("IRR", "e|n")
+def irr(flows, guess):
+    cells = _cells(flows)
+    if cells and not in_lambda():
+        return roots(periods_gap)(*cells)
+    flows = numbers([flows])
+    return solve(lambda r: npv(r, flows))
 
 
 def _growth(rate, n):
@@ -73,6 +158,8 @@ def nper(rate, pay, pv, f, when):
 @register("RATE", "nnn|nnn")
 def rate(n, pay, pv, f, when, guess):
     f, when = default(f, 0.0), default(when, 0.0)
+    if not in_lambda():
+        return roots(annuity_gap)(n, pay, pv, f, when)
 
     def gap(r):
         return pv * _growth(r, n) + F.when(F.abs(r) < 1e-12, pay * n).otherwise(pay * (1 + r * when) * F.try_divide(_growth(r, n) - 1, r)) + f
@@ -86,7 +173,16 @@ def _dated(rate, flows, days):
 
 
 register("XNPV", "nee")(lambda r, v, d: _dated(r, numbers([v]), numbers([d])))
-register("XIRR", "ee|n")(lambda v, d, guess: solve(lambda r: _dated(r, numbers([v]), numbers([d]))))
+
+
+@register("XIRR", "ee|n")
+def xirr(flows, days, guess):
+    cells, dated = _cells(flows), _cells(days)
+    if cells and len(cells) == len(dated) and not in_lambda():
+        return roots(dates_gap)(*cells, *dated)
+    return solve(lambda r: _dated(r, numbers([flows]), numbers([days])))
+
+
 register("SLN", "nnn")(lambda cost, salvage, life: F.try_divide(cost - salvage, life))
 register("SYD", "nnnn")(lambda cost, salvage, life, k: (cost - salvage) * (life - k + 1) * 2 / (life * (life + 1)))
 
@@ -111,9 +207,14 @@ def ppmt(rate, k, n, pv, f, when):
 
 def _cumulated(of_interest: bool):
     def f(rate, n, pv, first, last, when):
-        periods = F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda k: k.cast("double"))
-        zero = F.lit(0.0)
-        return total(periods, lambda k: _interest(rate, k, n, pv, zero, when) if of_interest else pmt(rate, n, pv, zero, when) - _interest(rate, k, n, pv, zero, when))
+        first, last = (F.floor(k).cast("double") for k in (first, last))
+        pay = pmt(rate, n, pv, F.lit(0.0), when)
+
+        def owed(k):
+            return F.when(k == 0, pv).when(k == n, 0.0).otherwise(-fv(rate, k, pay, pv, when) / (1 + rate * when))
+
+        principal = owed(last) - owed(first - 1)
+        return F.when((first >= 1) & (last >= first), (last - first + 1) * pay - principal if of_interest else principal)
 
     return f
 

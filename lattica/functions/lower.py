@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.functions.core import BOOL, GRID, NUM, REGISTRY, STR, E, Fun, as_grid, boolean, compare, grid, lit, num, txt
+from lattica.functions.core import BOOL, GRID, NUM, REGISTRY, STR, E, Fun, as_grid, boolean, compare, grid, lambda_body, lit, num, txt
 from lattica.functions.parser import Call, Const, FormulaError, Name, Op, Percent, Range, Ref, Sign, column_letters, parse
 
 MAX_ROW, MAX_COL = 1_048_576, 16_384
@@ -169,7 +169,8 @@ def _lambda(args, scope):
 
     def call(*given: E) -> E:
         bound = {p: given[k] if k < len(given) else lit(None) for k, p in enumerate(params)}
-        return lower(args[-1], scope.with_names(bound))
+        with lambda_body():
+            return lower(args[-1], scope.with_names(bound))
 
     return Fun(len(params), call)
 
