@@ -35,7 +35,14 @@ def minifs(df: DataFrame, target: str, wanted: dict) -> Column:
 
 
 def product(c: Column) -> Column:
-    return F.coalesce(F.product(c), F.lit(1.0))
+    """The product; null, as the spreadsheet's error, where no double holds it."""
+    made = F.coalesce(F.product(c), F.lit(1.0))
+    return F.when(F.abs(made) < float("inf"), made)
+
+
+def log_product(c: Column) -> Column:
+    """The logarithm of the product of positive numbers, also where no double holds the product; null where one is not positive."""
+    return F.when(F.min(c) > 0, F.sum(F.log(c)))
 
 
 def geomean(c: Column) -> Column:

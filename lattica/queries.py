@@ -61,7 +61,7 @@ FROM part GROUP BY p_brand
 def subtotal_codes(t: Tables):
     c = F.col("p_size")
     made = {k: ag.subtotal(k, c) for k in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11)}
-    made[6] = F.log(ag.subtotal(6, c.cast("double")))
+    made[6] = F.coalesce(F.log(ag.subtotal(6, c.cast("double"))), ag.log_product(c))  # beyond a double the product is an error, its logarithm is not
     return rounded(t.part.groupBy("p_brand").agg(*[made[k].alias(f"s{k}") for k in range(1, 12)]))
 
 
