@@ -12,10 +12,14 @@ CELLS = "sheet string, row int, col int, kind string, num double, str string, bo
 
 
 def letters(col: Column) -> Column:
-    """A, B, ..., Z, AA, ... of a column number up to 18278."""
-    a, b, c = col - 1, F.floor((col - 1) / 26) - 1, F.floor((col - 703) / 676)
-    char = lambda n: F.call_function("char", (65 + n).cast("int"))
-    return F.concat(F.when(col > 702, char(c % 26)).otherwise(""), F.when(col > 26, char(b % 26)).otherwise(""), char(a % 26))
+    """A, B, ..., Z, AA, ... of a column number from 1, with as many letters as it takes."""
+    n, before, parts = col.cast("long"), 0, []
+    for k in range(14):  # what a long needs; `before` columns have fewer letters than k + 1
+        digit = F.call_function("div", n - 1 - before, F.lit(26**k).cast("long")) % 26
+        letter = F.call_function("char", (65 + digit).cast("int"))
+        parts.insert(0, F.when(n > before, letter).otherwise("") if k else letter)
+        before += 26 ** (k + 1)
+    return F.concat(*parts)
 
 
 def column_number(name: Column) -> Column:
